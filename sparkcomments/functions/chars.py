@@ -69,6 +69,11 @@ def fold_table() -> FoldTable:
         if 0xD800 <= code <= 0xDFFF or HANGUL_FIRST <= code <= HANGUL_LAST:
             continue
         char = chr(code)
+        if not (
+            unicodedata.decomposition(char) or unicodedata.combining(char)
+            or char in lookalike or char in ZERO_WIDTH or char in WHITESPACE
+        ):
+            continue
         if char in ZERO_WIDTH:
             dropped.append(char)
             continue

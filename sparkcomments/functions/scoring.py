@@ -148,8 +148,30 @@ def _signal_text(rule) -> str:
     return sql(rule.signal)
 
 
+def sealed(df: DataFrame, kept: Sequence[str], computed: dict[str, Column | str]) -> DataFrame:
+    """``kept`` columns and the ``computed`` ones, out of reach of filter push-down.
+
+    A filter on a computed column would be pushed below every projection of the
+    chain, which spells out all that the column depends on, over and over.
+    Filters are not pushed below a generator, so the columns leave the chain
+    through one that yields a single row.
+    """
+    fields = ", ".join(f"`{name}`" for name in computed)
+    named = df.select(
+        *(F.col(f"`{k}`") for k in kept),
+        *((F.expr(x) if isinstance(x, str) else x).alias(name) for name, x in computed.items()),
+    )
+    one = F.expr(f"inline(array(struct({fields})))")
+    return named.select(*(F.col(f"`{k}`") for k in kept if k not in computed), one)
+
+
 def normalized(df: DataFrame, text: Column, out: str = "normalized_text") -> DataFrame:
     """``df`` with the normalised form of ``text`` as column ``out``."""
+    kept = [name for name in df.columns if name != out]
+    return sealed(_normalized(df, text, _P + "norm"), kept, {out: F.col(_P + "norm")})
+
+
+def _normalized(df: DataFrame, text: Column, out: str) -> DataFrame:
     df = df.withColumn(out, F.coalesce(text, F.lit("")))
     for step in N.normalization_steps():
         df = df.withColumn(out, step(F.col(out)))
@@ -184,7 +206,7 @@ def _gates(df, text, author, likes, threshold, blacklist, whitelist) -> DataFram
         "raw": f"IF({_IS_SCORED}, {_P}text, '')",
         "author": f"IF({_IS_SCORED}, {_P}author_text, '')",
     })
-    df = normalized(df, F.col(f"{_P}raw"), _P + "norm")
+    df = _normalized(df, F.col(f"{_P}raw"), _P + "norm")
     return _add(df, {
         # The dotless i is the one letter lower() leaves apart from its partner.
         "lower": f"replace(lower({_P}norm), 'ı', 'i')",
@@ -329,17 +351,18 @@ def analyze(
     signals: Sequence[rules.Signal] = rules.SIGNALS,
     legitimacy: Sequence[rules.Legitimacy] = rules.LEGITIMACY,
     columns: Sequence[str] = RESULT_COLUMNS,
-    keep_working: bool = False,
+    working: Sequence[str] = (),
 ) -> DataFrame:
     """``df`` with the result columns named in ``columns`` added.
 
-    ``keep_working`` also keeps the working columns (prefix ``_spam_``), for
-    queries over single rules.
+    ``working`` names further columns for queries over single rules: rule ids
+    (flags), ``lookalike``, ``crypto_count``, ``weights``, ``n_signals``, ``base``,
+    ``adjustment``, ``final``.  Only what is named is computed.
     """
     blacklist, whitelist = clean_patterns(blacklist), clean_patterns(whitelist)
     author = F.lit("") if author is None else author
     likes = F.lit(0) if likes is None else likes
-    before = df.columns
+    kept = [name for name in df.columns if name not in columns]
     df = _gates(df, text, author, likes, threshold, blacklist, whitelist)
     df = _scores(_hits(df, signals, legitimacy), signals, legitimacy)
     results = {
@@ -348,17 +371,5 @@ def analyze(
         "threshold": f"{_P}threshold",
         **_explanations(signals, legitimacy, blacklist, whitelist),
     }
-    keep = [F.col("*")] if keep_working else [F.col(f"`{c}`") for c in before]
-    return df.select(*keep, *(F.expr(results[c]).alias(c) for c in columns))
-
-
-def where_result(df: DataFrame, flag: str, value: bool) -> DataFrame:
-    """Rows whose computed ``flag`` equals ``value``, without scoring twice.
-
-    A filter straight on a computed column is pushed below the projection that
-    computes it, which would spell the whole scorer out once more.  Filters are
-    not pushed below a generator, so the flag goes through a one-element one.
-    """
-    others = [F.col(f"`{c}`") for c in df.columns if c != flag]
-    barrier = df.select(*others, F.explode(F.array(F.col(flag))).alias(flag))
-    return barrier.where(F.col(flag) if value else ~F.col(flag)).select(*(F.col(f"`{c}`") for c in df.columns))
+    computed = {name: results[name] for name in columns} | {name: _P + name for name in working}
+    return sealed(df, kept, computed)

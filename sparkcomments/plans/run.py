@@ -64,7 +64,7 @@ def requests_for(urls: DataFrame, options: Options = Options()) -> DataFrame:
     return urls.select("request_pos", "url", video_id(F.col("url")).alias("video_id")).withColumns(options.columns())
 
 
-def _requested_videos(requests: DataFrame, videos: DataFrame, failures: DataFrame | None):
+def requested_videos(requests: DataFrame, videos: DataFrame, failures: DataFrame | None):
     """(requests with their video, rejected requests).
 
     A request is rejected for the first reason found: its URL, a failed fetch of
@@ -142,7 +142,7 @@ def run(
     Comments are scored once, into a table partitioned by verdict; the cap, the
     counts and both outputs read only the columns they need from it.
     """
-    requested, rejects = _requested_videos(requests, videos, failures)
+    requested, rejects = requested_videos(requests, videos, failures)
     scored = staged(
         score_selected(select_comments(requested, comments), blacklist, whitelist), "scored", "is_spam")
     read = cap.capped(scored, "request_pos", "max_comments", ~F.col("is_spam"))

@@ -48,7 +48,7 @@ def filter_spam(
     """
     wanted = ["is_spam", *(["spam_score", "reason", "primary_category"] if include_scores else [])]
     scored = analyze_comments(df, text_col, author_col, likes_col, threshold, columns=wanted)
-    kept = scoring.where_result(scored, "is_spam", False)
+    kept = scored.where("NOT is_spam")
     columns = [F.col(f"`{c}`") for c in df.columns]
     if include_scores:
         columns += [
@@ -61,9 +61,9 @@ def filter_spam(
 def preset_sweep(df: DataFrame, text_col: str = "text", author_col: str = "author_name", likes_col: str = "like_count") -> DataFrame:
     """Spam per preset, scoring every row once."""
     scored = scoring.analyze(
-        df, F.col(text_col), F.col(author_col), lenient_likes(F.col(likes_col)), columns=(), keep_working=True)
+        df, F.col(text_col), F.col(author_col), lenient_likes(F.col(likes_col)), columns=(), working=("final",))
     counts = scored.agg(*(
-        F.count_if(F.col("_spam_final") >= limit).alias(name) for name, limit in scoring.PRESETS.items()
+        F.count_if(F.col("final") >= limit).alias(name) for name, limit in scoring.PRESETS.items()
     ))
     pairs = ", ".join(f"'{name}', {limit}D, {name}" for name, limit in scoring.PRESETS.items())
     swept = counts.select(F.expr(f"stack({len(scoring.PRESETS)}, {pairs}) AS (preset, threshold, spam_count)"))

@@ -26,7 +26,8 @@ def flatten_comment_pages(pages: DataFrame) -> DataFrame:
     Replies are counted, not read.  ``arrival_pos`` is the order of arrival
     within a video.  A field that is missing or of another shape gets its default.
     """
-    items = pages.select("video_id", "page_no", F.posexplode("items").alias("pos", "item"))
+    items = pages.select("video_id", "page_no", F.posexplode("items").alias("pos", "item")).where(
+        F.col("item").isNotNull())
     comment = "item.snippet.topLevelComment.snippet"
     return items.select(
         "video_id",
