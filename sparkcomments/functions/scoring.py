@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import configure
 from . import normalize as N
 from . import patterns, rules
 from .patterns import sql
@@ -359,6 +360,7 @@ def analyze(
     (flags), ``lookalike``, ``crypto_count``, ``weights``, ``n_signals``, ``base``,
     ``adjustment``, ``final``.  Only what is named is computed.
     """
+    configure(df.sparkSession)
     blacklist, whitelist = clean_patterns(blacklist), clean_patterns(whitelist)
     author = F.lit("") if author is None else author
     likes = F.lit(0) if likes is None else likes
