@@ -241,7 +241,7 @@ def stream_scores(spark, sf_dir):
     pages = _landed_pages(spark, sf_dir)
     folder = f"{staging.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     streaming.write_scored(streaming.score_pages(spark, pages), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select("arrival_pos", "is_spam", "spam_score")
+    return streaming.read_scored(spark, f"{folder}/out").select("arrival_pos", "is_spam", "spam_score")
 
 
 QUERIES = (

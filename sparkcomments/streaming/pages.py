@@ -71,5 +71,10 @@ def write_capped(scored: DataFrame, out: str, checkpoint: str, limit: int) -> St
     )
 
 
+def read_scored(spark: SparkSession, out: str) -> DataFrame:
+    """What :func:`write_scored` wrote; folder names carry the verdict as text."""
+    return spark.read.parquet(out).withColumn("is_spam", F.col("is_spam").cast("boolean"))
+
+
 def read_capped(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(f"{out}/rows").drop("batch")
+    return read_scored(spark, f"{out}/rows").drop("batch")
