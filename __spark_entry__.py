@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F  # noqa: E402
+from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: E402
 
 import oracle  # noqa: E402
 from sparkcomments import adapters as A  # noqa: E402
@@ -138,18 +138,16 @@ def run_metadata(spark, sf_dir):
     return _run(spark, sf_dir).metadata
 
 
-def _ranked(rows, *order):
-    rank = F.row_number().over(Window.partitionBy("request_pos").orderBy(*order))
-    return rows.select("request_pos", "arrival_pos", rank.alias("rank"))
-
-
 def sorted_comments(spark, sf_dir):
     keys = A.requests(spark, sf_dir).select("request_pos", "sort_by")
-    return _ranked(_run(spark, sf_dir).comments.join(keys, "request_pos"), *ordering.comment_order(c("sort_by")))
+    rows = _run(spark, sf_dir).comments.select("request_pos", "arrival_pos", "like_count", "published_at")
+    ranked = ordering.ranked(rows.join(keys, "request_pos"), "request_pos", ordering.comment_order(c("sort_by")))
+    return ranked.select("request_pos", "arrival_pos", "rank")
 
 
 def sorted_spam(spark, sf_dir):
-    return _ranked(_run(spark, sf_dir).spam, *ordering.spam_order())
+    rows = _run(spark, sf_dir).spam.select("request_pos", "arrival_pos", "spam_score")
+    return ordering.ranked(rows, "request_pos", ordering.spam_order()).select("request_pos", "arrival_pos", "rank")
 
 
 def video_summary(spark, sf_dir):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..plans.staging import staged
 
 # Sort keys and their display names.
 SORT_NAMES = {"Likes": "likes", "Date (Newest)": "date_desc", "Date (Oldest)": "date_asc"}
@@ -34,3 +36,22 @@ def comment_order(sort_by: Column | str = "likes") -> list[Column]:
 def spam_order() -> list[Column]:
     """By the rounded score."""
     return [F.col("spam_score").desc(), F.col("arrival_pos").asc()]
+
+
+def ranked(rows: DataFrame, group: str, order: list[Column], out: str = "rank") -> DataFrame:
+    """``rows`` with their place within ``group``, from 1.
+
+    Rows are spread by ranges of the order, ranked within each range, and moved
+    on by the counts of the ranges before it, so a large group is ranked by many
+    tasks.  The ranges are stored, as their limits come from a sample.
+    """
+    spread = staged(
+        rows.repartitionByRange(F.col(group), *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = spread.groupBy(group, "_range").agg(F.count("*").alias("_n")).withColumn(
+        "_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    place = F.row_number().over(Window.partitionBy(group, "_range").orderBy(*order))
+    return (
+        spread.join(counts, [group, "_range"])
+        .withColumn(out, (F.col("_before") + place).cast("int")).drop("_range", "_before")
+    )

@@ -1,5 +1,3 @@
-import datetime
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +130,12 @@ def test_sort_keys_and_presets(spark):
     df = spark.createDataFrame([("bitcoin", "", 0), ("Enter your seed phrase", "", 0)], "text string, author_name string, like_count long")
     swept = {r.preset: (r.spam_count, r.strength) for r in preset_sweep(df).collect()}
     assert swept == {"light": (1, "Light"), "moderate": (1, "Moderate"), "aggressive": (2, "Aggressive"), "strict": (2, "Strict")}
+
+
+def test_ranks_equal_a_sort(spark):
+    rows = [("hot", i, (i * 7919) % 13) for i in range(300)] + [("one", 5, 1)]
+    df = spark.createDataFrame(rows, "g string, arrival_pos long, like_count long").withColumn("published_at", F.lit(""))
+    got = ordering.ranked(df.repartition(8), "g", ordering.comment_order("likes")).where("g = 'hot'").orderBy("rank").collect()
+    assert [r.rank for r in got] == list(range(1, 301))
+    expected = sorted((r for r in rows if r[0] == "hot"), key=lambda r: (-r[2], r[1]))
+    assert [r.arrival_pos for r in got] == [r[1] for r in expected]
