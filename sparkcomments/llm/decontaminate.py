@@ -30,13 +30,14 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text.cast("string")), r"[^\p{L}\p{M}\p{N}]+"), "")
 
 
-def seeds(tokens: Column, step: int) -> Column:
-    """An array of structs of p, the place, and h, a hash of the mask and the words it counts."""
-    def at(i):
-        return F.array(*[F.struct(i.alias("p"), F.xxhash64(F.lit(m), *[tokens[i + o] for o in mask]).alias("h")) for m, mask in enumerate(MASKS)])
-
-    found = F.flatten(F.transform(F.sequence(F.lit(0), F.size(tokens) - SPAN, F.lit(step)), at))
-    return F.when(F.size(tokens) >= SPAN, found)
+def seeds(df: DataFrame, tokens: str, step: int) -> DataFrame:
+    """A row for each place and mask: df without the words, p, the place, and h, a hash of the mask and the words it
+    counts. Two generators in a row stay in one generated loop; the words are not copied for each place."""
+    w, p = F.col(tokens), F.col("p")
+    places = F.when(F.size(w) >= SPAN, F.sequence(F.lit(0), F.size(w) - SPAN, F.lit(step)))
+    found = F.array(*[F.xxhash64(F.lit(m), *[w[p + o] for o in mask]) for m, mask in enumerate(MASKS)])
+    keep = [c for c in df.columns if c != tokens]
+    return df.select(*df.columns, F.explode(places).alias("p")).select(*keep, "p", F.explode(found).alias("h"))
 
 
 def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
@@ -46,11 +47,10 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     d = docs.select(F.col(key).alias("d"), F.xxhash64(text).alias("k"), words(F.col(text)).alias("w"))
     b = (items.select(F.col(item).alias("item"), words(F.col(item_text)).alias("iw")).where(F.size("iw") >= LEAST)
          .dropDuplicates().withColumn("b", F.xxhash64("item", "iw")))
-    marks = (b.select("b", F.size("iw").alias("n"), F.explode(seeds(F.col("iw"), 1)).alias("s"))
-             .select("b", "n", F.col("s.p").alias("ip"), F.col("s.h").alias("h")))
+    marks = seeds(b.select("b", F.size("iw").alias("n"), "iw"), "iw", 1).withColumnRenamed("p", "ip")
     if marks.limit(most_broadcast + 1).count() <= most_broadcast:
         marks = F.broadcast(marks)
-    spots = d.select("d", "k", F.explode(seeds(F.col("w"), STEP)).alias("s")).select("d", "k", F.col("s.p").alias("p"), F.col("s.h").alias("h"))
+    spots = seeds(d, "w", STEP)
     hits = (spots.join(marks, "h").groupBy("d", "k", "b", "n", (F.col("p") - F.col("ip")).alias("shift")).agg(F.lit(1).alias("one"))
             .groupBy("d", "k").agg(F.collect_list(F.struct("b", "n", "shift")).alias("hits")))  # per document
     same = docs.select(F.col(key).alias("d2"), F.xxhash64(text).alias("k2"), F.col(text).alias("t"))

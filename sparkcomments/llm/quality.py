@@ -47,21 +47,27 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda a, b: a + b)
 
 
-def repeated_words(tokens: Column) -> Column:
-    """Words in windows of eight that stand twice or more in the text: windows in order of their hash, then position;
-    those beside an equal hash count, and each covers eight words up to the next one's start."""
-    n = F.size(tokens)
-    hashed = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.struct(F.xxhash64(F.slice(tokens, i + 1, WINDOW)).alias("h"), i.alias("i")))
-    ordered = F.array_sort(hashed)
+def window_hashes(tokens: Column) -> Column:
+    """A hash of each window of eight words, from hashes of the words."""
+    def windows(h: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(F.slice(h, i + 1, WINDOW)))
 
+    return F.when(F.size(tokens) > WINDOW, _let(F.transform(tokens, lambda w: F.xxhash64(w)), windows)).otherwise(F.array().cast("array<bigint>"))
+
+
+def repeated_words(hashes: Column) -> Column:
+    """Words in windows that stand twice or more in the text: windows in order of their hash, then position; those beside
+    an equal hash count, and each covers eight words up to the next one's start. Texts without such a window, most of
+    them, are told by the number of different hashes."""
     def starts(a: Column) -> Column:
         same = F.filter(a, lambda x, i: (F.get(a, i - 1).h == x.h) | (F.get(a, i + 1).h == x.h))
-        return F.array_sort(F.transform(same, lambda x: x.i))
+        return F.sort_array(F.transform(same, lambda x: x.i))
 
     def covered(a: Column) -> Column:
         return total(F.transform(a, lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(a, i + 1) - x, F.lit(WINDOW))).cast("long")))
 
-    return F.when(n > WINDOW, _let(ordered, lambda a: _let(starts(a), covered))).otherwise(F.lit(0).cast("long"))
+    ordered = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), _let(ordered, lambda a: _let(starts(a), covered))).otherwise(F.lit(0).cast("long"))
 
 
 def _let(value: Column, body) -> Column:
@@ -72,6 +78,7 @@ def _let(value: Column, body) -> Column:
 def measures(df: DataFrame, text: str = "text") -> DataFrame:
     """df with the contract's counts and the measures of the rules; the text goes."""
     out = df.withColumn("__t", F.coalesce(F.col(text).cast("string"), F.lit(""))).withColumn("__w", words(F.col("__t")))
+    out = out.withColumn("__h", window_hashes(F.col("__w")))
     lines = F.filter(F.split("__t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = out.withColumns({
         "n_words": F.size("__w").cast("long"),
@@ -79,7 +86,7 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
         "n_symbols": (F.length("__t") - F.length(F.translate("__t", "#*$%&|<>", ""))).cast("long"),
         "n_dup_lines": _let(lines, lambda a: (F.size(a) - F.size(F.array_distinct(a))).cast("long")),
         "__lines": F.size(lines),
-        "n_repeat_words": repeated_words(F.col("__w")),
+        "n_repeat_words": repeated_words(F.col("__h")),
         "__distinct": F.size(F.array_distinct("__w")),
         "__upper": F.length("__t") - F.length(F.translate("__t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "")),
     })
