@@ -21,9 +21,11 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .common import table
+
 SPACE = "▁"
 #: Words longer than this are encoded one at a time.
 LONG = 48
@@ -412,7 +414,6 @@ def encode(df: DataFrame, pieces: Pieces, text: str = "text", ids: str = "ids",
                     names.append(check)
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    # a further use of text beside a column of the same name is not possible in a frame of distinct columns
     return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
 
 
@@ -429,3 +430,18 @@ def decode(df: DataFrame, pieces: Pieces, ids: str = "ids", text: str = "decoded
 
 def n_tokens(ids: str = "ids") -> Column:
     return F.coalesce(F.size(ids), F.lit(0)).cast("long")
+
+
+#: Of the public tokenizers; a parameter.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode(docs, load(model), check="round_trip").select("doc_id", n_tokens().alias("n_tokens"), "ids", "round_trip")
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, model: str = MODEL) -> DataFrame:
+    """doc_id, the ids of the text, their number, and whether decoding them gives the text."""
+    coded = encode(docs.select("doc_id", "text"), load(model), check="round_trip")
+    return coded.select("doc_id", n_tokens().alias("n_tokens"), "ids", "round_trip")
