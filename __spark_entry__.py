@@ -21,6 +21,12 @@ from sparkcomments.sinks import tables as sinks  # noqa: E402
 from sparkcomments.sources import pages as sources  # noqa: E402
 from sparkcomments.streaming import pages as streaming  # noqa: E402
 
+try:  # the operators for training data can be left out
+    import corpus_pipeline
+    from sparkcomments.llm import queries as llm
+except ImportError:
+    llm = None
+
 c = F.col
 
 
@@ -258,8 +264,10 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {query.__name__: query for query in QUERIES}
+    found = {query.__name__: query for query in QUERIES}
+    return found | llm.QUERIES | {"pipeline": corpus_pipeline.run} if llm else found
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.oracle_sql()
+    found = oracle.oracle_sql()
+    return found | llm.ORACLE_SQL if llm else found
