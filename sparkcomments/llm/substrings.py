@@ -6,7 +6,7 @@ the seven words there (an anchor). Anchors, at three of seven positions, are all
 that occur in two documents are kept in a filter; then only windows around them are extended to 13 words, grouped by
 their hash, and resolved exactly: a word goes if a window over it also starts in a document with a smaller id.
 
-Sizes. The filter is a bit table of fixed size (filter_bits), broadcast. It only saves work: a false positive means that
+Sizes. The filter is a bit table of fixed size (filter_bits), two bits for an anchor, broadcast. It only saves work: a false positive means that
 a window is extended and found alone, and a full filter that all windows are extended. A frequent passage is counted
 before each shuffle, and joined as the small side of a join that Spark splits. Nothing is grouped but the window places
 of one document.
@@ -61,22 +61,45 @@ def _slim(docs: DataFrame, key: str, text: str) -> DataFrame:
         F.col(key).cast("long").alias("d"), F.xxhash64(text).alias("k"), F.col(text).cast("string").cast("binary").alias("t"))
 
 
+#: Bits of the filter that one row of its table holds.
+SEGMENT = 20
+
+
+def _places(anchors_: np.ndarray, filter_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of an anchor: its top bits and its low ones."""
+    return anchors_ >> np.uint64(ANCHOR_BITS - filter_bits), anchors_ & np.uint64((1 << filter_bits) - 1)
+
+
 def shared_filter(docs: DataFrame, key: str, text: str, filter_bits: int) -> np.ndarray:
-    """A bit for every anchor that two documents have."""
+    """Two bits for every anchor that two documents have. Built by segments, which the driver only puts in a row."""
     shared = (anchors(docs, key, text).groupBy("a").agg(F.min("d").alias("x"), F.max("d").alias("y")).where("x < y"))
-    shift = ANCHOR_BITS - filter_bits
-    place = F.shiftright("a", shift)
-    words = (shared.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, int((a >> {shift}) & 63))")).alias("bits"))
-             .toPandas())  # 2 ** filter_bits / 64 rows at most
+    places = shared.select(F.explode(F.array(F.shiftright("a", ANCHOR_BITS - filter_bits), F.expr(f"a & {(1 << filter_bits) - 1}"))).alias("p"))
+    words = places.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(p & 63))")).alias("bits"))
+
+    def build(batches):
+        parts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            word, bits = batch.column("word").to_numpy(), batch.column("bits").to_numpy().view(np.uint64)
+            for k in np.unique(word >> (SEGMENT - 6)):
+                at = word >> (SEGMENT - 6) == k
+                parts.setdefault(int(k), np.zeros(1 << (SEGMENT - 6), np.uint64))[word[at] & ((1 << (SEGMENT - 6)) - 1)] = bits[at]
+        for k, x in parts.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([x.tobytes()], pa.binary())], ["segment", "bits"])
+
+    segments = 1 << (filter_bits - SEGMENT)
     out = np.zeros(1 << (filter_bits - 6), np.uint64)
-    out[words.word.to_numpy(np.int64)] = words.bits.to_numpy(np.int64).view(np.uint64)
+    rows = words.repartition(min(segments, 16), F.shiftright("word", SEGMENT - 6)).mapInArrow(build, "segment long, bits binary")
+    for r in rows.toLocalIterator():
+        out[r.segment << (SEGMENT - 6):(r.segment + 1) << (SEGMENT - 6)] = np.frombuffer(r.bits, np.uint64)
     return out
 
 
 def windows(docs: DataFrame, key: str, text: str, found: np.ndarray, filter_bits: int) -> DataFrame:
     """The windows over anchors of the filter: w, their hash, d, and at: 32 bits of the text's hash and the place."""
     shared = docs.sparkSession.sparkContext.broadcast(found)
-    shift = np.uint64(ANCHOR_BITS - filter_bits)
+
+    def holds(places: np.ndarray) -> np.ndarray:
+        return (shared.value[places >> np.uint64(6)] >> (places & np.uint64(63)) & np.uint64(1)).astype(bool)
 
     def run(batches):
         for batch in batches:
@@ -88,8 +111,8 @@ def windows(docs: DataFrame, key: str, text: str, found: np.ndarray, filter_bits
                     counts.append(0)
                     continue
                 x = _anchors(words)
-                x = x >> shift
-                hit = np.flatnonzero(((shared.value[x >> np.uint64(6)] >> (x & np.uint64(63))) & np.uint64(1)).astype(bool) & _covered(len(x)))
+                high, low = _places(x, filter_bits)
+                hit = np.flatnonzero(holds(high) & holds(low) & _covered(len(x)))
                 step = np.zeros(n + PERIOD + 1, np.int32)  # windows that begin up to six words before an anchor
                 np.add.at(step, np.clip(hit - PERIOD + 1, 0, n), 1)
                 np.add.at(step, np.clip(hit + 1, 0, n), -1)
