@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table, window_hashes, word_hashes
+from .common import release, staged, table, window_hashes, word_hashes
 
 WINDOW, ANCHOR, PERIOD = 13, 7, 7
 COVER = np.array([True, True, False, True, False, False, False])
@@ -130,6 +130,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", filter_bi
     """For each document with words to remove: d, k, 32 bits of its text's hash, and starts, where its windows begin that
     also start in a document with a smaller id."""
     found = shared_filter(docs, key, text, filter_bits)
+    release(docs.sparkSession)
     rows = windows(docs, key, text, found, filter_bits)
     first = rows.groupBy("w").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last").select("w", "first")
     return (rows.join(first, "w").where("d > first")
@@ -139,7 +140,8 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", filter_bi
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", out: str = "kept", filter_bits: int = 27) -> DataFrame:
     """Each row's key with n_words, n_removed and the kept words joined by a space (a hash of them if out is
     'kept_sha256')."""
-    found = repeated(docs, key, text, filter_bits).withColumnsRenamed({"d": "__d", "k": "__k"})
+    found = staged(repeated(docs, key, text, filter_bits), "repeated").withColumnsRenamed({"d": "__d", "k": "__k"})
+    release(docs.sparkSession)
     t = F.col(text).cast("string")
     rows = docs.select(F.col(key).alias("key"), t.cast("binary").alias("t"), F.expr(f"xxhash64({text}) & 4294967295L").alias("k"))
     rows = rows.join(found, (F.col("key") == F.col("__d")) & (F.col("k") == F.col("__k")), "left").select("key", "t", "starts")
