@@ -132,7 +132,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", filter_bi
     found = shared_filter(docs, key, text, filter_bits)
     release(docs.sparkSession)
     rows = windows(docs, key, text, found, filter_bits)
-    first = rows.groupBy("w").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last").select("w", "first")
+    first = rows.groupBy("w").agg(F.min("d").alias("first"))
     return (rows.join(first, "w").where("d > first")
             .groupBy("d", F.expr("(at >> 32) & 4294967295L").alias("k")).agg(F.collect_set(F.expr("int(at & 4294967295L)")).alias("starts")))
 
