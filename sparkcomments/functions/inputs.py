@@ -21,8 +21,10 @@ def whole_number(text: Column) -> Column:
 
 
 def lenient_likes(likes: Column) -> Column:
-    """A like count that may be text; 0 where it cannot be read."""
-    return F.coalesce(whole_number(likes.cast("string")), F.lit(0).cast("long"))
+    """A like count that may be text; 0 where it cannot be read. Fractions of number columns are cut off."""
+    fraction = F.typeof(likes).rlike("^(double|float|decimal)")
+    number = F.floor(likes.try_cast("double")).try_cast("long")
+    return F.coalesce(F.when(fraction, number).otherwise(whole_number(likes.cast("string"))), F.lit(0).cast("long"))
 
 
 def date_error(date: Column) -> Column:

@@ -76,3 +76,13 @@ def test_stream_equals_batch_and_cap_holds_across_batches(spark, tmp_path):
     assert sorted((r.video_id, r.arrival_pos) for r in rows) == [
         ("v", 0), ("v", 1), ("v", 2), ("v", 100), ("w", 100), ("w", 101), ("w", 102)]
     assert set(COMMENT_COLUMNS[:-1]) <= set(rows[0].asDict())
+
+
+def test_like_counts_of_number_columns(spark):
+    from pyspark.sql import functions as F
+
+    from sparkcomments.functions.inputs import lenient_likes
+
+    rows = spark.createDataFrame([(150.0, "12.5"), (99.5, " 12 "), (None, "x")], "n double, t string")
+    out = rows.select(lenient_likes(F.col("n")).alias("n"), lenient_likes(F.col("t")).alias("t")).collect()
+    assert [tuple(r) for r in out] == [(150, 0), (99, 12), (0, 0)]
