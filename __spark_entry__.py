@@ -30,18 +30,23 @@ except ImportError:
 c = F.col
 
 
+def _spread(spark) -> int:
+    """Each test table is one file of one row group, which no reader setting splits: deal rows to all cores."""
+    return spark.sparkContext.defaultParallelism
+
+
 def _scored(spark, sf_dir, columns=(), blacklist=None, whitelist=None, working=()) -> DataFrame:
     return scoring.analyze(
-        A.comments(spark, sf_dir), c("text"), c("author_name"), c("like_count"),
+        A.comments(spark, sf_dir, _spread(spark)), c("text"), c("author_name"), c("like_count"),
         blacklist=blacklist, whitelist=whitelist, columns=columns, working=working)
 
 
 def normalize_text(spark, sf_dir):
-    return scoring.normalized(A.comments(spark, sf_dir), c("text")).select("arrival_pos", "normalized_text")
+    return scoring.normalized(A.comments(spark, sf_dir, _spread(spark)), c("text")).select("arrival_pos", "normalized_text")
 
 
 def obfuscation_flag(spark, sf_dir):
-    return A.comments(spark, sf_dir).select(
+    return A.comments(spark, sf_dir, _spread(spark)).select(
         "arrival_pos", normalize.has_lookalikes(c("text")).alias("has_lookalikes"),
         c("author_name").rlike(java(rules.BADGE)).alias("has_badge"))
 
@@ -70,8 +75,8 @@ def signal_counts_by_category(spark, sf_dir):
 
 
 def crypto_keyword_count(spark, sf_dir):
-    counted = _scored(spark, sf_dir, working=("crypto_count",))
-    return counted.where("crypto_count > 0").select("arrival_pos", c("crypto_count").alias("keywords"))
+    counted = _scored(spark, sf_dir, working=("S03_count",))
+    return counted.where("S03_count > 0").select("arrival_pos", c("S03_count").alias("keywords"))
 
 
 def base_score(spark, sf_dir):
@@ -100,36 +105,41 @@ def whitelist_blacklist(spark, sf_dir):
 
 
 def analyze_documents(spark, sf_dir):
-    return batch.analyze_batch(A.table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+    return batch.analyze_batch(A.table(spark, sf_dir, "documents", _spread(spark)).select("doc_id", "text")).select(
         "doc_id", "is_spam", "spam_score", "reason", F.array_join("categories", "|").alias("categories"),
         "had_obfuscation", "normalized_text")
 
 
 def analyze_conversations(spark, sf_dir):
-    return batch.analyze_batch(A.table(spark, sf_dir, "conversations")).select(
+    return batch.analyze_batch(A.table(spark, sf_dir, "conversations", _spread(spark))).select(
         "conv_id", "turn", "is_spam", "spam_score", "reason", "legitimacy_reason")
 
 
+def spam_flag(spark, sf_dir):
+    documents = A.table(spark, sf_dir, "documents", _spread(spark)).select("doc_id", "text")
+    return batch.spam_score(batch.spam_flag(documents, "text"), "text").select("doc_id", "is_spam", "spam_score")
+
+
 def filter_min_likes(spark, sf_dir):
-    return A.comments(spark, sf_dir).where(filters.min_likes(25)).select("video_id", "arrival_pos", "like_count")
+    return A.comments(spark, sf_dir, _spread(spark)).where(filters.min_likes(25)).select("video_id", "arrival_pos", "like_count")
 
 
 def filter_date_range(spark, sf_dir):
-    return A.comments(spark, sf_dir).where(filters.in_date_range("2024-01-05", "2024-01-20")).select(
+    return A.comments(spark, sf_dir, _spread(spark)).where(filters.in_date_range("2024-01-05", "2024-01-20")).select(
         "video_id", "arrival_pos", "published_at")
 
 
 def filter_words(spark, sf_dir):
-    return A.comments(spark, sf_dir).where(filters.has_word(["Telegram", "video", "GREAT"])).select("video_id", "arrival_pos")
+    return A.comments(spark, sf_dir, _spread(spark)).where(filters.has_word(["Telegram", "video", "GREAT"])).select("video_id", "arrival_pos")
 
 
 def exclude_creator(spark, sf_dir):
-    flagged = filters.attach_creator(A.comments(spark, sf_dir), A.videos(spark, sf_dir))
+    flagged = filters.attach_creator(A.comments(spark, sf_dir, _spread(spark)), A.videos(spark, sf_dir, _spread(spark)))
     return flagged.where(filters.not_by_creator()).select("video_id", "arrival_pos", "author_channel_id")
 
 
 def _run(spark, sf_dir) -> plan.Result:
-    return plan.run(A.requests(spark, sf_dir), A.videos(spark, sf_dir), A.comments(spark, sf_dir))
+    return plan.run(A.requests(spark, sf_dir, _spread(spark)), A.videos(spark, sf_dir, _spread(spark)), A.comments(spark, sf_dir, _spread(spark)))
 
 
 def capped_comments(spark, sf_dir):
@@ -145,7 +155,7 @@ def run_metadata(spark, sf_dir):
 
 
 def sorted_comments(spark, sf_dir):
-    keys = A.requests(spark, sf_dir).select("request_pos", "sort_by")
+    keys = A.requests(spark, sf_dir, _spread(spark)).select("request_pos", "sort_by")
     rows = _run(spark, sf_dir).comments.select("request_pos", "arrival_pos", "like_count", "published_at")
     ranked = ordering.ranked(rows.join(keys, "request_pos"), "request_pos", ordering.comment_order(c("sort_by")))
     return ranked.select("request_pos", "arrival_pos", "rank")
@@ -166,9 +176,9 @@ def totals(spark, sf_dir):
 
 
 def _url_lines(spark, sf_dir):
-    typed = A.raw_requests(spark, sf_dir).select(F.lit("request").alias("origin"), c("request_pos").alias("id"), "url")
+    typed = A.raw_requests(spark, sf_dir, _spread(spark)).select(F.lit("request").alias("origin"), c("request_pos").alias("id"), "url")
     return typed.unionByName(
-        A.table(spark, sf_dir, "pages").select(F.lit("page").alias("origin"), c("page_id").alias("id"), "url"))
+        A.table(spark, sf_dir, "pages", _spread(spark)).select(F.lit("page").alias("origin"), c("page_id").alias("id"), "url"))
 
 
 def extract_video_id(spark, sf_dir):
@@ -180,30 +190,30 @@ def url_summary(spark, sf_dir):
 
 
 def validate_requests(spark, sf_dir):
-    return inputs.validate_requests(A.raw_requests(spark, sf_dir)).withColumns(
+    return inputs.validate_requests(A.raw_requests(spark, sf_dir, _spread(spark))).withColumns(
         {"warnings": F.array_join("warnings", "; "), "words": F.array_join("words", "|")})
 
 
 def classify_fetch_errors(spark, sf_dir):
     kind, message = inputs.fetch_failure(c("status"), c("body"))
-    return A.fetch_log(spark, sf_dir).select(
+    return A.fetch_log(spark, sf_dir, _spread(spark)).select(
         "event_id", kind.alias("failure"), message.alias("message"), inputs.shown_failure(message).alias("shown"))
 
 
 def rejected_requests(spark, sf_dir):
-    requests = plan.requests_for(A.raw_requests(spark, sf_dir).select("request_pos", "url"))
-    _, rejects = plan.requested_videos(requests, A.videos(spark, sf_dir), None)
+    requests = plan.requests_for(A.raw_requests(spark, sf_dir, _spread(spark)).select("request_pos", "url"))
+    _, rejects = plan.requested_videos(requests, A.videos(spark, sf_dir, _spread(spark)), None)
     return rejects.select("request_pos", "reason", "message")
 
 
 def filter_spam_batch(spark, sf_dir):
-    rows = A.comments(spark, sf_dir).withColumn("like_count", c("like_count").cast("string"))
+    rows = A.comments(spark, sf_dir, _spread(spark)).withColumn("like_count", c("like_count").cast("string"))
     return batch.filter_spam(rows, "text", "author_name", "like_count", include_scores=True).select(
         "video_id", "arrival_pos", "text", "spam_score", "spam_signals")
 
 
 def preset_sweep(spark, sf_dir):
-    return batch.preset_sweep(A.comments(spark, sf_dir))
+    return batch.preset_sweep(A.comments(spark, sf_dir, _spread(spark)))
 
 
 def export_metadata(spark, sf_dir):
@@ -220,7 +230,7 @@ def export_spam(spark, sf_dir):
 
 def _landed_pages(spark, sf_dir) -> str:
     """The comments as landed API answers: one page per stretch of 100 positions of a video."""
-    rows = A.comments(spark, sf_dir)
+    rows = A.comments(spark, sf_dir, _spread(spark))
     snippet = F.struct(
         c("author_name").alias("authorDisplayName"), F.struct(c("author_channel_id").alias("value")).alias("authorChannelId"),
         c("text").alias("textDisplay"), c("published_at").alias("publishedAt"), c("like_count").alias("likeCount"))
@@ -237,10 +247,39 @@ def _landed_pages(spark, sf_dir) -> str:
     return path
 
 
+def filter_spam_fractions(spark, sf_dir):
+    rows = A.comments(spark, sf_dir, _spread(spark)).withColumns(
+        {"like_count": c("like_count") + F.lit(0.5), "is_spam": F.lit("mine")})
+    return batch.filter_spam(rows, "text", "author_name", "like_count").select("video_id", "arrival_pos", "is_spam")
+
+
 def parse_comment_pages(spark, sf_dir):
     return sources.read_comment_pages(spark, _landed_pages(spark, sf_dir)).select(*plan.COMMENT_COLUMNS[:-1])
 
 
+def video_pages(spark, sf_dir):
+    """The videos as landed answers, each landed twice."""
+    videos = A.videos(spark, sf_dir, _spread(spark))
+    item = F.struct(
+        c("video_id").alias("id"),
+        F.struct("title", c("published_at").alias("publishedAt"), c("channel_id").alias("channelId")).alias("snippet"),
+        F.struct(*(c(n).cast("string").alias(k) for n, k in (
+            ("view_count", "viewCount"), ("like_count", "likeCount"), ("comment_count", "commentCount")))).alias("statistics"))
+    path = f"{staging.shared_folder(spark)}/videos-{uuid.uuid4().hex}"
+    answers = videos.select("video_id", F.array(item).alias("items"))
+    for _ in range(2):
+        answers.write.mode("append").json(path)
+    return sources.read_video_pages(spark, path)
+
+
+def url_list(spark, sf_dir):
+    """The typed URLs as a folder of several lists, read back in order."""
+    path = f"{staging.shared_folder(spark)}/urls-{uuid.uuid4().hex}"
+    A.raw_requests(spark, sf_dir).repartitionByRange(4, "request_pos").sortWithinPartitions("request_pos").select(
+        "url").write.text(path)
+    return sources.read_url_list(spark, path)
+
+
 def stream_scores(spark, sf_dir):
     pages = _landed_pages(spark, sf_dir)
     folder = f"{staging.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
@@ -250,11 +289,11 @@ def stream_scores(spark, sf_dir):
 
 QUERIES = (
     normalize_text, obfuscation_flag, signal_hits, signal_matches, signal_counts_by_category, crypto_keyword_count,
-    base_score, legitimacy_adjustment, spam_score, spam_reason, whitelist_blacklist, analyze_documents,
+    base_score, legitimacy_adjustment, spam_score, spam_reason, whitelist_blacklist, analyze_documents, spam_flag,
     analyze_conversations, filter_min_likes, filter_date_range, filter_words, exclude_creator, capped_comments,
     capped_spam, run_metadata, sorted_comments, sorted_spam, video_summary, totals, extract_video_id, url_summary,
-    validate_requests, classify_fetch_errors, rejected_requests, filter_spam_batch, preset_sweep, export_metadata,
-    export_comments, export_spam, parse_comment_pages, stream_scores,
+    validate_requests, classify_fetch_errors, rejected_requests, filter_spam_batch, filter_spam_fractions, preset_sweep, export_metadata,
+    export_comments, export_spam, parse_comment_pages, video_pages, url_list, stream_scores,
 )
 
 

@@ -26,15 +26,14 @@ PHRASES = (
 )
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table; one of fewer files than cores is spread, as scoring is costly per row."""
+def table(spark: SparkSession, sf_dir: str, name: str, spread: int | None = None) -> DataFrame:
+    """A test table; ``spread`` deals its rows over so many partitions, for tables of one unsplittable file."""
     df = configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(spread) if spread else df
 
 
-def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events, documents = table(spark, sf_dir, "events"), table(spark, sf_dir, "documents")
+def comments(spark: SparkSession, sf_dir: str, spread: int | None = None) -> DataFrame:
+    events, documents = table(spark, sf_dir, "events", spread), table(spark, sf_dir, "documents", spread)
     phrases = f"array({', '.join(map(sql, PHRASES))})"
     joined = events.join(
         documents.select(F.col("doc_id").alias("event_id"), F.col("text").alias("document"), "source"),
@@ -53,9 +52,9 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+def videos(spark: SparkSession, sf_dir: str, spread: int | None = None) -> DataFrame:
     """One video per id among the comments; its creator wrote the first comment."""
-    first = comments(spark, sf_dir).groupBy("video_id").agg(
+    first = comments(spark, sf_dir, spread).groupBy("video_id").agg(
         F.min_by("author_channel_id", "arrival_pos").alias("channel_id"),
         F.min("published_at").alias("published_at"),
         F.sum("like_count").alias("like_count"),
@@ -68,10 +67,10 @@ def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_requests(spark: SparkSession, sf_dir: str, spread: int | None = None) -> DataFrame:
     """Requests as typed: one per customer, in many URL forms, some of them wrong."""
     c = F.col
-    customer = table(spark, sf_dir, "customer")
+    customer = table(spark, sf_dir, "customer", spread)
     video = F.substring(F.md5(F.concat(F.lit("user"), c("c_custkey"))), 1, 11)
     number = c("c_nationkey")
     return customer.select(
@@ -96,10 +95,10 @@ def raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def requests(spark: SparkSession, sf_dir: str, spread: int | None = None) -> DataFrame:
     """One request per video, every fifth of them twice, options by video."""
     c = F.col
-    options = videos(spark, sf_dir).select(
+    options = videos(spark, sf_dir, spread).select(
         "video_id", F.conv(F.substring(F.md5("video_id"), 1, 6), 16, 10).cast("long").alias("n"))
     twice = options.withColumn("part", F.explode(F.when(c("n") % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     return twice.select(
@@ -120,10 +119,10 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fetch_log(spark: SparkSession, sf_dir: str, spread: int | None = None) -> DataFrame:
     """Failed fetches: one per event, with page text as body."""
     c = F.col
-    events, pages = table(spark, sf_dir, "events"), table(spark, sf_dir, "pages")
+    events, pages = table(spark, sf_dir, "events", spread), table(spark, sf_dir, "pages", spread)
     joined = events.join(pages.select(c("page_id").alias("event_id"), "html"), "event_id", "left")
     body = (
         F.when(c("event_type") == "click", "{reason: commentsDisabled}")

@@ -157,12 +157,20 @@ def has_lookalikes(text: Column) -> Column:
     return F.when(is_ascii(text), False).otherwise(text.rlike(_char_class(chars.LOOKALIKE_FROM)))
 
 
+# Characters whose case partners are not found by lower() alone.
+_PARTNERS = {0x130: "i", 0x131: "i", 0x17F: "s", 0x212A: "k", 0xB5: "μ"}
+
+
 def fold_case(text: Column) -> Column:
     """Lower case, one character for one, with the special case partners merged.
 
     Two texts are equal after folding iff a case-insensitive match would treat
     them as equal; positions in the result are positions in ``text``.
     """
-    # Characters whose case partners are not found by lower() alone.
-    plain = F.translate(text, "İıſKµ", "iiskμ")
+    plain = F.translate(text, "".join(map(chr, _PARTNERS)), "".join(_PARTNERS.values()))
     return F.translate(F.lower(plain), "ς", "σ")
+
+
+def folded(literal: str) -> str:
+    """:func:`fold_case` of a constant."""
+    return literal.translate(_PARTNERS).lower().replace("ς", "σ")

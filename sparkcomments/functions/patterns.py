@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 # Fixed value: the characters that count as whitespace, as a character class body.
 SPACE_CLASS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 SPACE = f"[{SPACE_CLASS}]"
@@ -51,22 +53,22 @@ def sql(value) -> str:
 _ESCAPES = {"\\": "\\\\", "'": "\\'", "\n": "\\n", "\t": "\\t", "\r": "\\r"}
 
 
+def gate_word(start: str) -> str:
+    """What is searched for a start: a symbol as it is, of words the part before any inner boundary."""
+    return re.match(r"\w+", start)[0] if start[0].isalnum() else start
+
+
 def any_start(starts) -> str:
     """A pattern for any of ``starts``: words at a word start, symbols anywhere.
 
-    Words are tried by first letter.  One that another word is a prefix of is
-    left out: the prefix is found in its place.  ``\b`` without flags never sees
-    fewer boundaries than the Unicode one, so nothing is missed.
+    Words are tried by first letter, the longest first: what is found at a place
+    has every start that occurs there as a prefix.  ``\b`` without flags never
+    sees fewer boundaries than the Unicode one, so nothing is missed.
     """
     symbols = sorted(s for s in starts if not s[0].isalnum())
-    words = {s for s in starts if s[0].isalnum()}
+    words = sorted({gate_word(s) for s in starts if s[0].isalnum()}, key=lambda w: (w[0], -len(w), w))
     by_letter: dict[str, list[str]] = {}
-    for word in sorted({found_as(w, words) for w in words}):
+    for word in words:
         by_letter.setdefault(word[0], []).append(quote(word[1:]))
     branches = (f"{letter}(?:{'|'.join(rest)})" for letter, rest in by_letter.items())
     return rf"\b(?:{'|'.join(branches)})|[{''.join(map(quote, symbols))}]"
-
-
-def found_as(start: str, starts) -> str:
-    """What :func:`any_start` reports where ``start`` begins."""
-    return min((s for s in starts if start.startswith(s)), key=len)

@@ -1,7 +1,7 @@
 """The rule table: spam signals and legitimacy signals as data.
 
 A rule is plain data, so a user can extend a detector by passing a longer tuple
-to :func:`sparkcomments.functions.scoring.score`.  Patterns are written in the
+to :func:`sparkcomments.functions.scoring.analyze`.  Patterns are written in the
 common subset of the Python, Java and RE2 dialects; ``patterns.java`` adapts
 ``\\s``, ``\\d`` and ``\\b`` to Unicode semantics.
 """
@@ -27,6 +27,9 @@ class Signal:
     ``starts`` begins one of its words (or, being a symbol, occurs) and one of
     ``hints`` occurs anywhere in it and the
     simpler pattern ``probe`` matches, each only where given.  Otherwise the pattern is not tried.
+
+    ``counted`` makes the weight grow with the number of matches: base, step for
+    each match, top.
     """
 
     id: str
@@ -41,6 +44,7 @@ class Signal:
     starts: tuple[str, ...] = ()
     hints: tuple[str, ...] = ()
     probe: str | None = None
+    counted: tuple[float, float, float] | None = None
 
 
 @dataclass(frozen=True)
@@ -103,7 +107,8 @@ SIGNALS: tuple[Signal, ...] = (
            starts=_words("seed recovery mnemonic 12 24 multi help share split stuck can't need"),
            hints=_words("seed recovery mnemonic word multi transfer withdraw access share split stuck")),
     Signal("S03", "S03", "crypto_scam", "Crypto/trading keywords", CRYPTO_TOP, NORM, CRYPTO,
-           starts=_words("crypto bitcoin btc eth altcoin blockchain nft binance coinbase kraken kucoin bybit okx bitget mexc usdt usdc tether doge shiba pepe defi yield staking airdrop whitelist presale web3 metaverse token ico ido forex fx binary trading 10x 100x 1000x moon lambo hodl wagmi ngmi fomo fud")),
+           starts=_words("crypto bitcoin btc eth altcoin blockchain nft binance coinbase kraken kucoin bybit okx bitget mexc usdt usdc tether doge shiba pepe defi yield staking airdrop whitelist presale web3 metaverse token ico ido forex fx binary trading 10x 100x 1000x moon lambo hodl wagmi ngmi fomo fud"),
+           counted=(CRYPTO_BASE, CRYPTO_STEP, CRYPTO_TOP)),
     Signal("S04", "S04", "financial_scam", "Financial promises/guarantees", 0.60, NORM, FINANCIAL,
            hints=_words("$ % guaranteed double risk turn transform convert make earn passive financial quit")),
     Signal("S05a", "S05", "platform_redirect", "Platform redirect link", 0.55, NORM, PLATFORM_REDIRECT,
@@ -149,11 +154,14 @@ LEGITIMACY: tuple[Legitimacy, ...] = (
                hints=_words(": timestamp timecode")),
     Legitimacy("L2", "Reply to specific user", -0.15, RAW, REPLY, "[@username]", False,
                hints=_words("@")),
-    Legitimacy("L3", "Asks a question", -0.15, NORM, QUESTION, "[question]"),
+    Legitimacy("L3", "Asks a question", -0.15, NORM, QUESTION, "[question]",
+               starts=_words("? how what why when where who which can could would should does has is are")),
     Legitimacy("L4", "Genuine discussion", -0.20, NORM, DISCUSSION,
-               starts=_words("i in imo imho great thank this good well helpful informative insightful as")),
+               starts=_words("i in imo imho great thank this good well helpful informative insightful as"),
+               hints=_words("think opinion imo imho agree point video content expla tutorial thank helped clarifies learned understood finally job work done said helpful informative insightful struggling trying beginner student developer teacher parent")),
     Legitimacy("L5", "Balanced feedback", -0.10, NORM, BALANCED,
-               starts=_words("but one could i slight minor small not on")),
+               starts=_words("but one could i slight minor small not on"),
+               hints=_words("think maybe however thing suggest critique better improved recommend issue problem sure hand")),
     Legitimacy("L6", "Educational context", -0.20, NORM, EDUCATIONAL,
                starts=_words("what how explain learn understand teach tutorial guide beginner newbie noob started can eli5 difference compared pro advantage")),
 )

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import configure
+from ..session import require_configured
 from . import normalize as N
 from . import patterns, rules
 from .patterns import sql
@@ -47,6 +47,7 @@ _SIGNAL = "struct<category:string,signal:string,weight:double,matched_text:strin
 # Working columns; dropped at the end.
 _P = "_spam_"
 _PLACES = 512  # size of the table from starts to rules
+_WORD_BITS = 62  # rules to one long
 _BLANK, _WHITE, _BLACK, _SCORED = 0, 1, 2, 3
 _IS_SCORED = f"{_P}gate = {_SCORED}"
 
@@ -80,11 +81,13 @@ def clean_patterns(user_patterns: Sequence[str] | None) -> list[str]:
 def first_pattern(folded_text: Column, user_patterns: Sequence[str]) -> Column:
     """The first pattern, in list order, that the text contains; null if none.
 
-    One array literal and one expression, however long the list is.
+    The list is folded once, here.  Rows are tested with one alternation; only
+    those that hit look for the entry.
     """
-    literals = F.expr(f"array({', '.join(map(sql, user_patterns))})")
-    folded = F.transform(literals, N.fold_case)
-    return F.get(F.filter(folded, lambda p: folded_text.contains(p)), F.lit(0))
+    folded = list(map(N.folded, user_patterns))
+    entries = F.expr(f"array({', '.join(map(sql, folded))})")
+    first = F.get(F.filter(entries, lambda p: folded_text.contains(p)), F.lit(0))
+    return F.when(folded_text.rlike("|".join(map(patterns.quote, folded))), first)
 
 
 def _add(df: DataFrame, columns: dict[str, Column | str]) -> DataFrame:
@@ -101,13 +104,13 @@ _SIGNAL_FIELDS = ("category", "signal", "weight", "matched_text")
 _BONUS_FIELDS = ("signal", "bonus", "matched_text")
 
 
-def _hit(rule, bit: int) -> str:
+def _hit(rule, place: int) -> str:
     """Whether the rule matches; cheap necessary conditions go first."""
     text, folded = _FIELDS[rule.source]
     haystack = folded if rule.ignore_case else text
     conditions = []
     if rule.starts:
-        conditions.append(f"({_P}tried & {bit}L) != 0")
+        conditions.append(f"({_P}tried{place // _WORD_BITS} & {1 << place % _WORD_BITS}L) != 0")
     if rule.hints:
         conditions.append("(" + " OR ".join(f"contains({haystack}, {sql(h)})" for h in rule.hints) + ")")
     for pattern in filter(None, (rule.probe, rule.pattern)):
@@ -137,15 +140,15 @@ def _in_slot(slot, value, default: str) -> str:
 
 
 def _weight(rule) -> str:
-    if rule.id == "S03":
-        scaled = f"{_P}crypto_count * {sql(rules.CRYPTO_STEP)} + {sql(rules.CRYPTO_BASE)}"
-        return f"least({scaled}, {sql(rules.CRYPTO_TOP)})"
+    if rule.counted:
+        base, step, top = rule.counted
+        return f"least({_P}{rule.id}_count * {sql(step)} + {sql(base)}, {sql(top)})"
     return sql(float(rule.weight))
 
 
 def _signal_text(rule) -> str:
-    if rule.id == "S03":
-        return f"concat({sql(rule.signal + ' (')}, string({_P}crypto_count), 'x)')"
+    if rule.counted:
+        return f"concat({sql(rule.signal + ' (')}, string({_P}{rule.id}_count), 'x)')"
     return sql(rule.signal)
 
 
@@ -224,21 +227,29 @@ def _hits(df, signals, legitimacy) -> DataFrame:
     looked up by checksum: two starts sharing a place only add tries.
     """
     all_rules = (*signals, *legitimacy)
-    bits = {rule.id: 1 << i for i, rule in enumerate(all_rules)}
     all_starts = sorted({start for rule in all_rules for start in rule.starts})
-    places = [0] * _PLACES
-    for rule in all_rules:
-        for start in rule.starts:
-            found = patterns.found_as(start, all_starts)
-            places[zlib.crc32(found.encode()) % _PLACES] |= bits[rule.id]
-    table = f"array({', '.join(f'{bit_set}L' for bit_set in places)})"
-    df = _add(df, {"starts": f"regexp_extract_all({_P}lower, {sql(patterns.any_start(all_starts))}, 0)"})
-    df = _add(df, {
-        "tried": f"aggregate({_P}starts, 0L, (bits, start) -> bits | {table}[int(crc32(start) % {_PLACES})])"
-    })
-    df = _add(df, {rule.id: _hit(rule, bits[rule.id]) for rule in all_rules})
-    counted = f"regexp_count({_P}lower, {sql(patterns.java(rules.CRYPTO))})"
-    return _add(df, {"crypto_count": f"IF({_P}S03, {counted}, 0)"})
+    tables = [[0] * _PLACES for _ in range(0, len(all_rules), _WORD_BITS)]
+    for found in {patterns.gate_word(start) for start in all_starts}:
+        place = zlib.crc32(found.encode()) % _PLACES
+        for i, rule in enumerate(all_rules):
+            if any(found.startswith(patterns.gate_word(start)) for start in rule.starts):
+                tables[i // _WORD_BITS][place] |= 1 << i % _WORD_BITS
+    if all_starts:
+        df = _add(df, {"starts": f"regexp_extract_all({_P}lower, {sql(patterns.any_start(all_starts))}, 0)"})
+        tried = {}
+        for word, places in enumerate(tables):
+            table = f"array({', '.join(f'{bit_set}L' for bit_set in places)})"
+            tried[f"tried{word}"] = (
+                f"aggregate({_P}starts, 0L, (bits, start) -> bits | {table}[int(crc32(start) % {_PLACES})])")
+        df = _add(df, tried)
+    df = _add(df, {rule.id: _hit(rule, i) for i, rule in enumerate(all_rules)})
+    counts = {}
+    for rule in signals:
+        if rule.counted:
+            text, folded = _FIELDS[rule.source]
+            counted = f"regexp_count({folded if rule.ignore_case else text}, {sql(patterns.java(rule.pattern))})"
+            counts[f"{rule.id}_count"] = f"IF({_P}{rule.id}, {counted}, 0)"
+    return _add(df, counts) if counts else df
 
 
 def _scores(df, signals, legitimacy) -> DataFrame:
@@ -249,7 +260,8 @@ def _scores(df, signals, legitimacy) -> DataFrame:
     df = _add(df, {"weights": f"array({', '.join(weights)})"})
     df = _add(df, {
         "ranked": f"sort_array({_P}weights, false)",
-        "n_signals": " + ".join(f"int({_P}weights[{i}] > 0D)" for i in range(n)),
+        "n_signals": " + ".join([f"int({_P}lookalike)"] + [
+            f"int({' OR '.join(_P + r.id for r in slot)})" for slot in slots(signals)]),
     })
     # Absent signals weigh 0.0, so the sum is the one over present signals.
     base = " + ".join(f"{_P}ranked[{i}] * {sql(DECAY ** i)}" for i in range(n))
@@ -298,7 +310,8 @@ def _explanations(signals, legitimacy, blacklist, whitelist) -> dict[str, str]:
                       f"sort_array(array_distinct(array_compact({category_array}))))",
         "reason": f"IF({none}, {sql(NO_REASON)}, "
                   f"array_join(slice(array_compact({text_array}), 1, {REASONS_SHOWN}), '; '))",
-        "primary_category": f"IF({none}, NULL, element_at({category_array}, {strongest}))",
+        "primary_category": f"CASE WHEN {none} THEN NULL WHEN array_max({_P}weights) > 0D THEN "
+                            f"element_at({category_array}, {strongest}) ELSE array_compact({category_array})[0] END",
         "had_obfuscation": f"{_P}lookalike",
     }
 
@@ -353,18 +366,20 @@ def analyze(
     legitimacy: Sequence[rules.Legitimacy] = rules.LEGITIMACY,
     columns: Sequence[str] = RESULT_COLUMNS,
     working: Sequence[str] = (),
+    prefix: str = "",
 ) -> DataFrame:
     """``df`` with the result columns named in ``columns`` added.
 
     ``working`` names further columns for queries over single rules: rule ids
-    (flags), ``lookalike``, ``crypto_count``, ``weights``, ``n_signals``, ``base``,
-    ``adjustment``, ``final``.  Only what is named is computed.
+    (flags), ``lookalike``, ``S03_count``, ``weights``, ``n_signals``, ``base``,
+    ``adjustment``, ``final``.  Only what is named is computed.  Result columns get
+    ``prefix`` before their names and replace columns of the same name.
     """
-    configure(df.sparkSession)
+    require_configured(df.sparkSession)
     blacklist, whitelist = clean_patterns(blacklist), clean_patterns(whitelist)
     author = F.lit("") if author is None else author
     likes = F.lit(0) if likes is None else likes
-    kept = [name for name in df.columns if name not in columns]
+    kept = [name for name in df.columns if name not in {prefix + column for column in columns}]
     df = _gates(df, text, author, likes, threshold, blacklist, whitelist)
     df = _scores(_hits(df, signals, legitimacy), signals, legitimacy)
     results = {
@@ -373,5 +388,5 @@ def analyze(
         "threshold": f"{_P}threshold",
         **_explanations(signals, legitimacy, blacklist, whitelist),
     }
-    computed = {name: results[name] for name in columns} | {name: _P + name for name in working}
+    computed = {prefix + name: results[name] for name in columns} | {name: _P + name for name in working}
     return sealed(df, kept, computed)

@@ -27,8 +27,24 @@ def words_pattern(words: Column) -> Column:
 
 def contains_word(text: Column, words: Column | Sequence[str]) -> Column:
     """Whether ``text`` holds any of ``words``, in any case; true for no words."""
-    if not isinstance(words, Column):
-        words = F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
+    return matches_words(text, words_pattern(words) if isinstance(words, Column) else F.lit(constant_pattern(words)))
+
+
+def constant_pattern(words: Sequence[str]) -> str:
+    """:func:`words_pattern` of a constant list."""
+
+    def is_word(char: str) -> bool:
+        return char.isalnum() or char == "_"
+
+    def bounded(word: str) -> str:
+        before = f"(?<!{_WORD_CHAR})" if is_word(word[:1]) else f"(?<={_WORD_CHAR})"
+        after = f"(?!{_WORD_CHAR})" if is_word(word[-1:]) else f"(?={_WORD_CHAR})"
+        return before + "".join(c if is_word(c) else "\\" + c for c in word.lower()) + after
+
+    return "|".join(map(bounded, words))
+
+
+def matches_words(text: Column, pattern: Column) -> Column:
+    """:func:`contains_word` with a pattern built beforehand; the empty one is that of no words."""
     # regexp_instr keeps the last compiled pattern, so a constant one is compiled once.
-    found = F.regexp_instr(F.lower(text), words_pattern(words)) > 0
-    return (F.size(words) == 0) | found
+    return (pattern == "") | (F.regexp_instr(F.lower(text), pattern) > 0)

@@ -53,5 +53,5 @@ def ranked(rows: DataFrame, group: str, order: list[Column], out: str = "rank")
     place = F.row_number().over(Window.partitionBy(group, "_range").orderBy(*order))
     return (
         spread.join(counts, [group, "_range"])
-        .withColumn(out, (F.col("_before") + place).cast("int")).drop("_range", "_before")
+        .withColumn(out, F.col("_before") + place).drop("_range", "_before")
     )

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import scoring
 from ..functions.inputs import fetch_failure, shown_failure
 from ..functions.urls import video_id
+from ..functions.words import matches_words, words_pattern
 from ..operators import aggregates, cap, filters, ordering
 from .staging import staged
 
@@ -68,9 +69,12 @@ def requested_videos(requests: DataFrame, videos: DataFrame, failures: DataFrame
     """(requests with their video, rejected requests).
 
     A request is rejected for the first reason found: its URL, a failed fetch of
-    its video, no such video.
+    its video, no such video.  Of repeated rows of a video, the greatest in column
+    order counts.
     """
     c = F.col
+    others = [name for name in videos.columns if name != "video_id"]
+    videos = videos.groupBy("video_id").agg(F.max(F.struct(*others)).alias("v")).select("video_id", "v.*")
     found = requests.join(videos.withColumnRenamed("url", "video_url").withColumn("_found", F.lit(True)), "video_id", "left")
     if failures is not None:
         failed_id, (kind, message) = video_id(c("url")), fetch_failure(c("status"), c("body"))
@@ -100,7 +104,8 @@ def select_comments(requested: DataFrame, comments: DataFrame) -> DataFrame:
     """Comments of the requested videos that pass the filters before scoring."""
     c = F.col
     asked = requested.select(
-        "request_pos", "video_id", c("channel_id").alias("_creator"), "min_likes", "max_comments", "words",
+        "request_pos", "video_id", c("channel_id").alias("_creator"), "min_likes", "max_comments",
+        words_pattern(c("words")).alias("_pattern"),
         "date_from", "date_to", "filter_spam", "exclude_creator", "sort_by", "threshold",
     )
     joined = comments.join(asked, "video_id").withColumn(
@@ -109,8 +114,8 @@ def select_comments(requested: DataFrame, comments: DataFrame) -> DataFrame:
         filters.not_by_creator(c("exclude_creator"))
         & filters.min_likes(c("min_likes"))
         & filters.in_date_range(c("date_from"), c("date_to"))
-        & filters.has_word(c("words"))
-    ).drop("_creator", "min_likes", "words", "date_from", "date_to", "exclude_creator")
+        & matches_words(c("text"), c("_pattern"))
+    ).drop("_creator", "_pattern", "min_likes", "date_from", "date_to", "exclude_creator")
 
 
 def score_selected(selected: DataFrame, blacklist=None, whitelist=None) -> DataFrame:

@@ -19,13 +19,14 @@ def analyze_comments(
     blacklist: Sequence[str] | None = None,
     whitelist: Sequence[str] | None = None,
     columns: Sequence[str] = scoring.RESULT_COLUMNS,
+    prefix: str = "",
 ) -> DataFrame:
     """Every row with its verdict, score, signals and reasons."""
     return scoring.analyze(
         df, F.col(f"`{text_col}`"),
         F.col(f"`{author_col}`") if author_col else None,
         lenient_likes(F.col(f"`{likes_col}`")) if likes_col else None,
-        threshold, blacklist, whitelist, columns=columns,
+        threshold, blacklist, whitelist, columns=columns, prefix=prefix,
     )
 
 
@@ -44,20 +45,32 @@ def filter_spam(
 ) -> DataFrame:
     """Rows that are not spam; with ``spam_score`` and ``spam_signals`` on request.
 
-    Like counts may be text.  Row-wise: no shuffle, works on streams.
+    Like counts may be text.  A caller's own columns stay, but for those two.
+    Row-wise: no shuffle, works on streams.
     """
     wanted = ["is_spam", *(["spam_score", "reason", "primary_category"] if include_scores else [])]
-    scored = analyze_comments(df, text_col, author_col, likes_col, threshold, columns=wanted)
-    kept = scored.where("NOT is_spam")
-    columns = [F.col(f"`{c}`") for c in df.columns]
+    scored = analyze_comments(df, text_col, author_col, likes_col, threshold, columns=wanted, prefix="_verdict_")
+    kept = scored.where("NOT _verdict_is_spam")
+    added = ("spam_score", "spam_signals") if include_scores else ()
+    columns = [F.col(f"`{c}`") for c in df.columns if c not in added]
     if include_scores:
         columns += [
-            F.col("spam_score"),
-            F.when(F.col("primary_category").isNull(), "").otherwise(F.col("reason")).alias("spam_signals"),
+            F.col("_verdict_spam_score").alias("spam_score"),
+            F.when(F.col("_verdict_primary_category").isNull(), "").otherwise(F.col("_verdict_reason")).alias("spam_signals"),
         ]
     return kept.select(*columns)
 
 
+def spam_flag(df: DataFrame, text_col: str, threshold: float = scoring.DEFAULT_THRESHOLD) -> DataFrame:
+    """``df`` with the verdict on one text column as ``is_spam``."""
+    return analyze_comments(df, text_col, None, None, threshold, columns=("is_spam",))
+
+
+def spam_score(df: DataFrame, text_col: str) -> DataFrame:
+    """``df`` with the score of one text column as ``spam_score``."""
+    return analyze_comments(df, text_col, None, None, columns=("spam_score",))
+
+
 def preset_sweep(df: DataFrame, text_col: str = "text", author_col: str = "author_name", likes_col: str = "like_count") -> DataFrame:
     """Spam per preset, scoring every row once."""
     scored = scoring.analyze(

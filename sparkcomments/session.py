@@ -22,3 +22,10 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
+
+
+def require_configured(spark: SparkSession) -> None:
+    """The scorer changes no settings itself: it asks for the one that its plans cannot do without."""
+    key = "spark.sql.constraintPropagation.enabled"
+    if spark.conf.get(key) != SETTINGS[key]:
+        raise ValueError(f"call sparkcomments.configure(spark), or set {key} to {SETTINGS[key]}, before scoring")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .. import schemas
 from ..functions.inputs import whole_number
@@ -41,8 +41,18 @@ def flatten_comment_pages(pages: DataFrame) -> DataFrame:
     )
 
 
+def latest(answers: DataFrame, *keys: Column) -> DataFrame:
+    """Of files read, the answer that landed last for each of ``keys``: by time of the file, then its path, then text."""
+    rest = F.struct(*(F.col(f"`{name}`") for name in answers.columns))
+    landed = F.struct(F.col("_metadata.file_modification_time"), F.col("_metadata.file_path"), F.to_json(rest))
+    return answers.groupBy(*(key.alias(f"_key{i}") for i, key in enumerate(keys))).agg(
+        F.max_by(rest, landed).alias("_answer")).select("_answer.*")
+
+
 def read_comment_pages(spark: SparkSession, path: str) -> DataFrame:
-    return flatten_comment_pages(spark.read.schema(schemas.COMMENT_PAGE).json(path))
+    """Comments of the pages in a folder; of a page landed again, the latest counts."""
+    pages = spark.read.schema(schemas.COMMENT_PAGE).json(path)
+    return flatten_comment_pages(latest(pages, F.col("video_id"), F.col("page_no")))
 
 
 def stream_comment_pages(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -68,19 +78,27 @@ def flatten_video_pages(pages: DataFrame) -> DataFrame:
 
 
 def read_video_pages(spark: SparkSession, path: str) -> DataFrame:
-    return flatten_video_pages(spark.read.schema(schemas.VIDEO_PAGE).json(path))
+    """One row per video of the answers in a folder: that of the latest answer which holds it."""
+    filled = spark.read.schema(schemas.VIDEO_PAGE).json(path).where(F.get("items", F.lit(0)).isNotNull())
+    return flatten_video_pages(latest(filled, F.coalesce(F.col("video_id"), F.get("items", F.lit(0))["id"])))
 
 
 def read_url_list(spark: SparkSession, path: str) -> DataFrame:
-    """``request_pos, url``: the filled lines of a text file, in order, repeats kept.
+    """``request_pos, url``: the filled lines of a file or folder, in order of file names and lines, repeats kept.
 
-    A list that fits one input split, as typed lists do, keeps the order of its
-    lines.
+    ``request_pos`` counts all lines.  Rows are numbered within their stretch of
+    a file and moved on by the line counts of the stretches before it; only these
+    counts, one for each input split, are put in one order.
     """
+    stretch = ["_file", "_start"]
     lines = spark.read.text(path).select(
-        F.monotonically_increasing_id().alias("request_pos"), strip(F.col("value")).alias("url")
-    )
-    return lines.where(F.col("url") != "")
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_line"), strip(F.col("value")).alias("url"))
+    before = Window.orderBy(*stretch).rowsBetween(Window.unboundedPreceding, -1)
+    moved = lines.groupBy(*stretch).agg(F.min("_line").alias("_first"), F.count("*").alias("_n")).select(
+        *stretch, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_by"))
+    return lines.join(moved, stretch).where(F.col("url") != "").select(
+        (F.col("_line") + F.col("_by")).alias("request_pos"), "url")
 
 
 def read_fetch_log(spark: SparkSession, path: str) -> DataFrame:

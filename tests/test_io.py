@@ -40,6 +40,14 @@ def test_video_pages_and_url_list(spark, tmp_path):
     got = {r.video_id: r for r in pages.read_video_pages(spark, str(tmp_path / "v")).collect()}
     assert set(got) == {"abcdefghijk", "c"} and got["abcdefghijk"].view_count == 12 and got["c"].title == ""
     assert got["c"].url == "https://www.youtube.com/watch?v=c" and got["c"].like_count == 0
+    (tmp_path / "v" / "y.json").write_text("\n".join(map(json.dumps, lines[:1])))  # landed again
+    assert pages.read_video_pages(spark, str(tmp_path / "v")).count() == 2
+    (tmp_path / "lists").mkdir()
+    (tmp_path / "lists" / "1.txt").write_text("z\n")
+    (tmp_path / "lists" / "2.txt").write_text("long list\n\nb\n" * 50)
+    (tmp_path / "lists" / "3.txt").write_text("a\n")
+    several = pages.read_url_list(spark, str(tmp_path / "lists")).orderBy("request_pos").collect()
+    assert [r.url for r in several] == ["z", *["long list", "b"] * 50, "a"]
     (tmp_path / "urls.txt").write_text(" b \n\n a\nb\n")
     listed = pages.read_url_list(spark, str(tmp_path / "urls.txt")).orderBy("request_pos").collect()
     assert [r.url for r in listed] == ["b", "a", "b"]
