@@ -206,6 +206,14 @@ def rejected_requests(spark, sf_dir):
     return rejects.select("request_pos", "reason", "message")
 
 
+def failed_requests(spark, sf_dir):
+    """Requests whose fetch failed: the log's entry of a number is that of the request of that number."""
+    raw = A.raw_requests(spark, sf_dir, _spread(spark)).select("request_pos", "url")
+    log = A.fetch_log(spark, sf_dir, _spread(spark)).join(raw.withColumnRenamed("request_pos", "event_id"), "event_id")
+    _, rejects = plan.requested_videos(plan.requests_for(raw), A.videos(spark, sf_dir, _spread(spark)), log)
+    return rejects.select("request_pos", "reason", "message", "shown")
+
+
 def filter_spam_batch(spark, sf_dir):
     rows = A.comments(spark, sf_dir, _spread(spark)).withColumn("like_count", c("like_count").cast("string"))
     return batch.filter_spam(rows, "text", "author_name", "like_count", include_scores=True).select(
@@ -228,6 +236,13 @@ def export_spam(spark, sf_dir):
     return sinks.export_spam(_run(spark, sf_dir).spam)
 
 
+def saved_workbook(spark, sf_dir):
+    """The comments of a workbook, written and read back."""
+    result, folder = _run(spark, sf_dir), f"{staging.shared_folder(spark)}/workbook-{uuid.uuid4().hex}"
+    sinks.save_workbook(folder, sinks.export_metadata(result.metadata), sinks.export_comments(result.comments))
+    return spark.read.parquet(f"{folder}/{sinks.WORKBOOK_TABLES[1]}")
+
+
 def _landed_pages(spark, sf_dir) -> str:
     """The comments as landed API answers: one page per stretch of 100 positions of a video."""
     rows = A.comments(spark, sf_dir, _spread(spark))
@@ -292,8 +307,8 @@ QUERIES = (
     base_score, legitimacy_adjustment, spam_score, spam_reason, whitelist_blacklist, analyze_documents, spam_flag,
     analyze_conversations, filter_min_likes, filter_date_range, filter_words, exclude_creator, capped_comments,
     capped_spam, run_metadata, sorted_comments, sorted_spam, video_summary, totals, extract_video_id, url_summary,
-    validate_requests, classify_fetch_errors, rejected_requests, filter_spam_batch, filter_spam_fractions, preset_sweep, export_metadata,
-    export_comments, export_spam, parse_comment_pages, video_pages, url_list, stream_scores,
+    validate_requests, classify_fetch_errors, rejected_requests, failed_requests, filter_spam_batch, filter_spam_fractions, preset_sweep, export_metadata,
+    export_comments, export_spam, saved_workbook, parse_comment_pages, video_pages, url_list, stream_scores,
 )
 
 
