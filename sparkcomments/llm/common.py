@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Words of the contracts: runs of anything but ASCII white space. bytes.split() cuts at the same places.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes as terms have them: A-Z in lower case; of ASCII only digits and letters stay, all else is a space.
+TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -51,6 +53,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def terms(text: bytes | None) -> list[bytes]:
+    """The runs of digits, letters and characters beyond ASCII of a text in UTF-8, A-Z in lower case, in order."""
+    return text.translate(TERM_BYTES).split() if text else []
+
+
 def word_hashes(text: bytes | None) -> np.ndarray:
     """A 64-bit hash of each word of a text in UTF-8, in order."""
     words = text.split() if text else []
