@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import sys
-import uuid
 from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -16,9 +15,10 @@ from sparkcomments import adapters as A  # noqa: E402
 from sparkcomments.functions import inputs, normalize, rules, scoring, urls  # noqa: E402
 from sparkcomments.functions.patterns import java  # noqa: E402
 from sparkcomments.operators import aggregates, filters, ordering  # noqa: E402
-from sparkcomments.plans import run as plan, scoring as batch, staging  # noqa: E402
+from sparkcomments.plans import run as plan, scoring as batch  # noqa: E402
 from sparkcomments.sinks import tables as sinks  # noqa: E402
-from sparkcomments.sources import pages as sources  # noqa: E402
+from sparkcomments.sources import chains, pages as sources  # noqa: E402
+from sparkcomments.staging import workspace  # noqa: E402
 from sparkcomments.streaming import pages as streaming  # noqa: E402
 
 try:  # the operators for training data can be left out
@@ -238,13 +238,13 @@ def export_spam(spark, sf_dir):
 
 def saved_workbook(spark, sf_dir):
     """The comments of a workbook, written and read back."""
-    result, folder = _run(spark, sf_dir), f"{staging.shared_folder(spark)}/workbook-{uuid.uuid4().hex}"
+    result, folder = _run(spark, sf_dir), workspace(spark).path("workbook")
     sinks.save_workbook(folder, sinks.export_metadata(result.metadata), sinks.export_comments(result.comments))
     return spark.read.parquet(f"{folder}/{sinks.WORKBOOK_TABLES[1]}")
 
 
-def _landed_pages(spark, sf_dir) -> str:
-    """The comments as landed API answers: one page per stretch of 100 positions of a video."""
+def _pages(spark, sf_dir) -> DataFrame:
+    """The comments as API answers: one page per stretch of 100 positions of a video."""
     rows = A.comments(spark, sf_dir, _spread(spark))
     snippet = F.struct(
         c("author_name").alias("authorDisplayName"), F.struct(c("author_channel_id").alias("value")).alias("authorChannelId"),
@@ -257,8 +257,14 @@ def _landed_pages(spark, sf_dir) -> str:
     pages = rows.groupBy("video_id", page_no.alias("page_no")).agg(
         F.map_from_entries(F.collect_list(F.struct((c("arrival_pos") % sources.PAGE_SIZE).cast("int").alias("k"), item.alias("v")))).alias("m"))
     items = F.transform(F.sequence(F.lit(0), F.lit(sources.PAGE_SIZE - 1)), lambda k: c("m")[k])
-    path = f"{staging.shared_folder(spark)}/pages-{uuid.uuid4().hex}"
-    pages.select("video_id", "page_no", items.alias("items")).write.json(path)
+    return pages.select("video_id", "page_no", items.alias("items"))
+
+
+def _landed_pages(spark, sf_dir, times=1) -> str:
+    """A folder with all pages, landed once or more."""
+    path = workspace(spark).path("pages")
+    for _ in range(times):
+        _pages(spark, sf_dir).write.mode("append").json(path)
     return path
 
 
@@ -280,7 +286,7 @@ def video_pages(spark, sf_dir):
         F.struct("title", c("published_at").alias("publishedAt"), c("channel_id").alias("channelId")).alias("snippet"),
         F.struct(*(c(n).cast("string").alias(k) for n, k in (
             ("view_count", "viewCount"), ("like_count", "likeCount"), ("comment_count", "commentCount")))).alias("statistics"))
-    path = f"{staging.shared_folder(spark)}/videos-{uuid.uuid4().hex}"
+    path = workspace(spark).path("videos")
     answers = videos.select("video_id", F.array(item).alias("items"))
     for _ in range(2):
         answers.write.mode("append").json(path)
@@ -289,19 +295,56 @@ def video_pages(spark, sf_dir):
 
 def url_list(spark, sf_dir):
     """The typed URLs as a folder of several lists, read back in order."""
-    path = f"{staging.shared_folder(spark)}/urls-{uuid.uuid4().hex}"
+    path = workspace(spark).path("urls")
     A.raw_requests(spark, sf_dir).repartitionByRange(4, "request_pos").sortWithinPartitions("request_pos").select(
         "url").write.text(path)
     return sources.read_url_list(spark, path)
 
 
 def stream_scores(spark, sf_dir):
-    pages = _landed_pages(spark, sf_dir)
-    folder = f"{staging.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    pages, folder = _landed_pages(spark, sf_dir), workspace(spark).path("stream")
     streaming.write_scored(streaming.score_pages(spark, pages), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return streaming.read_scored(spark, f"{folder}/out").select("arrival_pos", "is_spam", "spam_score")
 
 
+def stream_deduplicated(spark, sf_dir):
+    """A folder whose pages landed twice, read as a stream: each page counts once."""
+    pages, folder = _landed_pages(spark, sf_dir, times=2), workspace(spark).path("stream")
+    rows = sources.stream_comment_pages(spark, pages)
+    streaming.write_rows(rows, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select(*plan.COMMENT_COLUMNS[:-1])
+
+
+def stream_capped(spark, sf_dir):
+    """The first five kept comments of each video, over two landings: even pages, then all (so the odd ones are late)."""
+    pages, folder = workspace(spark).path("pages"), workspace(spark).path("stream")
+    for landing in (c("page_no") % 2 == 0, F.lit(True)):
+        _pages(spark, sf_dir).where(landing).write.mode("append").json(pages)
+        scored = streaming.score_pages(spark, pages)
+        streaming.write_capped(scored, f"{folder}/out", f"{folder}/checkpoint", 5).awaitTermination()
+    return streaming.read_scored(spark, f"{folder}/out").select("video_id", "arrival_pos", "is_spam")
+
+
+def _landed_chains(spark, sf_dir) -> DataFrame:
+    """Landed pages with their tokens, without comments. Of every other video, the last page landed again without one."""
+    numbers = A.comments(spark, sf_dir, _spread(spark)).select(
+        "video_id", F.floor(c("arrival_pos") / sources.PAGE_SIZE).alias("page_no")).distinct()
+    ends = numbers.groupBy("video_id").agg(F.max("page_no").alias("page_no")).where(F.substring("video_id", 11, 1) < "8")
+    path = workspace(spark).path("chains")
+    numbers.withColumn("nextPageToken", F.concat(F.lit("page"), c("page_no") + 1)).write.json(path)
+    ends.write.mode("append").json(path)
+    return sources.read_comment_answers(spark, path)
+
+
+def incomplete_videos(spark, sf_dir):
+    """The pages that lack, by stretches."""
+    return chains.missing_pages(_landed_chains(spark, sf_dir))
+
+
+def video_chains(spark, sf_dir):
+    return chains.chain_summary(_landed_chains(spark, sf_dir))
+
+
 QUERIES = (
     normalize_text, obfuscation_flag, signal_hits, signal_matches, signal_counts_by_category, crypto_keyword_count,
     base_score, legitimacy_adjustment, spam_score, spam_reason, whitelist_blacklist, analyze_documents, spam_flag,
@@ -309,6 +352,7 @@ QUERIES = (
     capped_spam, run_metadata, sorted_comments, sorted_spam, video_summary, totals, extract_video_id, url_summary,
     validate_requests, classify_fetch_errors, rejected_requests, failed_requests, filter_spam_batch, filter_spam_fractions, preset_sweep, export_metadata,
     export_comments, export_spam, saved_workbook, parse_comment_pages, video_pages, url_list, stream_scores,
+    stream_deduplicated, stream_capped, incomplete_videos, video_chains,
 )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..plans.staging import staged
+from ..staging import staged
 
 # Sort keys and their display names.
 SORT_NAMES = {"Likes": "likes", "Date (Newest)": "date_desc", "Date (Oldest)": "date_asc"}

@@ -12,7 +12,7 @@ from ..functions.inputs import fetch_failure, shown_failure
 from ..functions.urls import video_id
 from ..functions.words import matches_words, words_pattern
 from ..operators import aggregates, cap, filters, ordering
-from .staging import staged
+from ..staging import staged
 
 COMMENT_COLUMNS = (
     "video_id", "arrival_pos", "author_name", "author_channel_id", "text", "published_at",

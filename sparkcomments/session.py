@@ -11,6 +11,10 @@ SETTINGS = {
     # The JVM does not compile methods above 8000 bytes of bytecode: let larger
     # fused stages fall back to generated code in smaller pieces.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Totals and seen pages of a stream live on executors' disks; keyed state of
+    # the processor kind is kept by this store only.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # A filter makes the planner derive constraints from every column of every
     # projection under it; over the scorer's chain that takes minutes.
     "spark.sql.constraintPropagation.enabled": "false",

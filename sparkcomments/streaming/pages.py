@@ -5,76 +5,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import cap
 from ..operators.filters import attach_creator
 from ..plans.scoring import analyze_comments
-from ..sources.pages import stream_comment_pages
+from ..sources.pages import READ_AT, REMEMBERED, stream_comment_pages
+from . import cap
 
 _COLUMNS = ("is_spam", "spam_score", "reason", "primary_category", "had_obfuscation")
 
 
-def score_pages(spark: SparkSession, pages: str, videos: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
-    """Comments of newly landed pages with their verdict.
+def score_pages(
+    spark: SparkSession, pages: str, videos: DataFrame | None = None, threshold: float = 0.5, **reading,
+) -> DataFrame:
+    """Comments of newly landed pages with their verdict; ``reading`` goes to :func:`stream_comment_pages`.
 
     Scoring is row-wise, so the batch function serves the stream unchanged.
     """
-    comments = stream_comment_pages(spark, pages)
+    comments = stream_comment_pages(spark, pages, **reading)
     if videos is not None:
         comments = attach_creator(comments, videos)
     return analyze_comments(comments, threshold=threshold, columns=_COLUMNS)
 
 
-def write_scored(scored: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """All pages landed so far, kept and spam side by side in ``out/is_spam=…``."""
+def write_rows(rows: DataFrame, out: str, checkpoint: str, *partition_by: str) -> StreamingQuery:
+    """All that has landed so far, as parquet in ``out``."""
     return (
-        scored.writeStream.format("parquet").partitionBy("is_spam")
+        rows.drop(READ_AT).writeStream.format("parquet").partitionBy(*partition_by)
         .option("path", out).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
 
 
-def write_capped(scored: DataFrame, out: str, checkpoint: str, limit: int) -> StreamingQuery:
-    """Like :func:`write_scored`, at most ``limit`` kept comments per video.
+def write_scored(scored: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """All pages landed so far, kept and spam side by side in ``out/is_spam=…``."""
+    return write_rows(scored, out, checkpoint, "is_spam")
 
-    Pages of a video are expected in order of arrival across batches; within a
-    batch, ``arrival_pos`` decides.  What each batch kept per video is logged next
-    to the output.  Batches write to folders of their own, so that a repeated
-    batch replaces what it wrote before.
-    """
-    rows, kept_log = f"{out}/rows", f"{out}/kept_log"
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        target = f"{rows}/batch={batch_id}"
-        earlier = (
-            spark.read.schema("batch long, video_id string, n long").parquet(kept_log)
-            .where(F.col("batch") < batch_id)
-            .groupBy("video_id").agg(F.sum("n").alias("_kept"))
-        ) if batch_id else None
-        scratch = f"{out}/scored/batch={batch_id}"
-        batch.write.mode("overwrite").parquet(scratch)  # scored once, read for cap and output
-        stored = spark.read.schema(batch.schema).parquet(scratch)
-        if earlier is None:
-            stored = stored.withColumn("_kept", F.lit(0).cast("long"))
-        else:
-            stored = stored.join(earlier, "video_id", "left").withColumn("_kept", F.coalesce("_kept", F.lit(0)))
-        left = stored.withColumn("_left", F.lit(limit) - F.col("_kept")).where("_left > 0")
-        cap.capped(left, "video_id", "_left", ~F.col("is_spam")).drop("_left", "_kept").write.mode(
-            "overwrite").partitionBy("is_spam").parquet(target)
-        written = spark.read.schema(batch.schema).parquet(target)
-        written.where("NOT is_spam").groupBy("video_id").agg(F.count("*").alias("n")).write.mode(
-            "overwrite").parquet(f"{kept_log}/batch={batch_id}")
 
-    return (
-        scored.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
+def write_capped(scored: DataFrame, out: str, checkpoint: str, limit: int, remembered: int | None = REMEMBERED) -> StreamingQuery:
+    """Like :func:`write_scored`, at most ``limit`` kept comments per video, spam only up to the last of them.
+
+    The totals live in the state of the query, in its checkpoint; see
+    :func:`sparkcomments.streaming.cap.capped` for late pages and expiry.
+    """
+    return write_scored(cap.capped(scored, limit, remembered), out, checkpoint)
 
 
 def read_scored(spark: SparkSession, out: str) -> DataFrame:
     """What :func:`write_scored` wrote; folder names carry the verdict as text."""
     return spark.read.parquet(out).withColumn("is_spam", F.col("is_spam").cast("boolean"))
-
-
-def read_capped(spark: SparkSession, out: str) -> DataFrame:
-    return read_scored(spark, f"{out}/rows").drop("batch")

@@ -8,6 +8,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from pyspark.sql import SparkSession
 
 from sparkcomments import configure
+from sparkcomments.staging import close_applications, shared_folder
 
 
 @pytest.fixture(scope="session")
@@ -20,4 +21,6 @@ def spark(tmp_path_factory):
     )
     session.sparkContext.setLogLevel("ERROR")
     yield configure(session)
+    close_applications()
+    assert not [name for name in os.listdir(shared_folder(session)) if name.startswith("sparkcomments-")]
     session.stop()

@@ -1,9 +1,16 @@
+import itertools
 import json
+import os
+import random
+import time
+
+import pandas as pd
 
 from sparkcomments.plans.run import COMMENT_COLUMNS
 from sparkcomments.sinks import tables
-from sparkcomments.sources import pages
-from sparkcomments.streaming import pages as streaming
+from sparkcomments.sources import chains, pages
+from sparkcomments.staging import Workspace, shared_folder, staged
+from sparkcomments.streaming import cap, pages as streaming
 
 
 def _item(text, likes=0, author={"value": "UC1"}):
@@ -80,7 +87,7 @@ def test_stream_equals_batch_and_cap_holds_across_batches(spark, tmp_path):
         if page:
             _land(folder, f"{page}{video}", page, [_item(t) for t in texts], video)
         streaming.write_capped(scored, str(tmp_path / "cap"), str(tmp_path / "ck2"), 3).awaitTermination()
-    rows = streaming.read_capped(spark, str(tmp_path / "cap")).collect()
+    rows = streaming.read_scored(spark, str(tmp_path / "cap")).collect()
     assert sorted((r.video_id, r.arrival_pos) for r in rows) == [
         ("v", 0), ("v", 1), ("v", 2), ("v", 100), ("w", 100), ("w", 101), ("w", 102)]
     assert set(COMMENT_COLUMNS[:-1]) <= set(rows[0].asDict())
@@ -94,3 +101,117 @@ def test_like_counts_of_number_columns(spark):
     rows = spark.createDataFrame([(150.0, "12.5"), (99.5, " 12 "), (None, "x")], "n double, t string")
     out = rows.select(lenient_likes(F.col("n")).alias("n"), lenient_likes(F.col("t")).alias("t")).collect()
     assert [tuple(r) for r in out] == [(150, 0), (99, 12), (0, 0)]
+
+
+def _land_at(folder, name, when, *pages_):
+    folder.mkdir(exist_ok=True)
+    (folder / f"{name}.json").write_text("\n".join(map(json.dumps, pages_)))
+    os.utime(folder / f"{name}.json", (when, when))
+
+
+def _page(text, page_no, video="v", token=None):
+    return {"video_id": video, "page_no": page_no, "items": [_item(text)]} | ({"nextPageToken": token} if token else {})
+
+
+def test_pages_landed_again(spark, tmp_path):
+    folder = tmp_path / "p"
+    _land_at(folder, "b", 1000, _page("old", 0), _page("one", 1), _page("null", 0, None))
+    _land_at(folder, "a", 2000, _page("new", 0), _page("x", 0, "w"), _page("null, again", 0, None))
+    _land_at(folder, "c", 2000, _page("newest", 0), _page("y", 0, "w"), _page("z", 0, "w"))  # equal times: by path, then place
+    texts = lambda keep: sorted((r.video_id or "-", r.arrival_pos, r.text) for r in pages.read_comment_pages(spark, str(folder), keep).collect())
+    assert texts("latest") == [("-", 0, "null, again"), ("v", 0, "newest"), ("v", 100, "one"), ("w", 0, "z")]
+    assert texts("first") == [("-", 0, "null"), ("v", 0, "old"), ("v", 100, "one"), ("w", 0, "x")]
+
+
+def test_no_text_is_shuffled_for_the_latest_answer(spark, tmp_path):
+    _land_at(tmp_path / "p", "a", 1000, _page("a", 0), _page("b", 1))
+    _land_at(tmp_path / "p", "b", 2000, _page("c", 0))
+    read = pages.read_comment_pages(spark, str(tmp_path / "p"))
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "rangepartitioning" not in plan
+    assert sorted(r.text for r in read.collect()) == ["b", "c"]
+
+
+def test_stream_reads_a_page_once(spark, tmp_path):
+    """Over several micro-batches and restarts, the stream equals the batch that keeps the first answer."""
+    folder, out, checkpoint = tmp_path / "p", str(tmp_path / "out"), str(tmp_path / "ck")
+    for landing in range(3):
+        _land_at(folder, f"{landing}a", 1000 + 2 * landing, _page(f"text {landing}", 0), _page(f"own {landing}", landing + 1))
+        _land_at(folder, f"{landing}b", 1001 + 2 * landing, _page(f"again {landing}", 0), _page("w", 0, "w"))
+        rows = pages.stream_comment_pages(spark, str(folder), files_per_batch=1)
+        streaming.write_rows(rows, out, checkpoint).awaitTermination()
+    batch = pages.read_comment_pages(spark, str(folder), keep="first")
+    stream = spark.read.parquet(out)
+    assert stream.columns == batch.columns and sorted(map(tuple, stream.collect())) == sorted(map(tuple, batch.collect()))
+    assert stream.count() == 5
+
+
+def test_capped_stream_late_pages_and_expiry(spark, tmp_path):
+    folder, out, checkpoint = tmp_path / "p", str(tmp_path / "out"), str(tmp_path / "ck")
+
+    def run(remembered):
+        rows = streaming.score_pages(spark, str(folder), remembered=remembered)
+        streaming.write_capped(rows, out, checkpoint, 3, remembered).awaitTermination()
+        return sorted((r.video_id, r.arrival_pos, r.is_spam) for r in streaming.read_scored(spark, out).collect())
+
+    spam = "Enter your seed phrase"
+    _land(folder, "5", 5, [_item("hi"), _item(spam), _item("hello")])
+    first = run(1)
+    assert first == [("v", 500, False), ("v", 501, True), ("v", 502, False)]
+    _land(folder, "1", 1, [_item(spam), _item("late"), _item(spam), _item("too late")])  # takes what is left, up to the third kept one
+    late = run(1)
+    assert late == sorted([*first, ("v", 100, True), ("v", 101, False)])
+    _land(folder, "6", 6, [_item(spam), _item("full")])
+    assert run(1) == late
+    time.sleep(4)
+    _land(folder, "w", 0, [_item("moves the clock on")], "w")
+    run(1)
+    time.sleep(2)
+    _land(folder, "w2", 1, [_item("moves the clock on")], "w")
+    run(1)
+    _land(folder, "7", 7, [_item("anew")])  # long after: the total of v is gone
+    assert ("v", 700, False) in run(1)
+
+
+def test_cut_of_a_video_does_not_depend_on_frames():
+    r = random.Random(1)
+    for _ in range(200):
+        flags = [r.random() < 0.5 for _ in range(r.randint(0, 12))]
+        rows = pd.DataFrame({"arrival_pos": range(len(flags)), "is_spam": flags}).sample(frac=1, random_state=r.randint(0, 99))
+        left, held = r.randint(1, 5), None
+        for start in range(0, len(rows), 3):
+            part = rows.iloc[start:start + 3]
+            held = cap.FirstKept._until_cut(part if held is None else pd.concat([held, part]), left)
+        kept_before = [0, *itertools.accumulate(not f for f in flags)]
+        assert ([] if held is None else held.arrival_pos.tolist()) == [i for i in range(len(flags)) if kept_before[i] < left]
+
+
+def test_page_chains(spark):
+    landed = {
+        "whole": ([0, 1, 2], 2), "open": ([0, 1], None), "start": ([2, 3], 3), "inside": ([0, 1, 5, 6, 9], 9), "one": ([0], 0), "far": ([7, 8, 70], None),
+        "early end": ([0, 1, 2], 1)}
+    rows = [(v, n, None if n == last else "t") for v, (numbers, last) in landed.items() for n in numbers]
+    rows += [("one", 0, ""), ("whole", 2, None), (None, 1, None), ("minus", -1, None), ("null", None, None)]
+    table = spark.createDataFrame(rows, "video_id string, page_no long, nextPageToken string")
+    expected = {("open", 2, None, "end"), ("start", 0, 1, "start"), ("inside", 2, 4, "inside"), ("inside", 7, 8, "inside"), ("far", 0, 6, "start"),
+                ("far", 9, 69, "inside"), ("far", 71, None, "end"), ("early end", 3, None, "end"), (None, 0, 0, "start")}
+    for stretch in (1, 3, 8, 65_536):
+        got = [tuple(r) for r in chains.missing_pages(table, stretch).collect()]
+        assert len(got) == len(expected) and set(got) == expected
+        found = {r.video_id: tuple(r)[1:] for r in chains.chain_summary(table, stretch).collect()}
+        assert found == {"whole": (3, 2, 0, True, True), "open": (2, 1, 0, False, False), "start": (2, 3, 2, True, False), "inside": (5, 9, 5, True, False),
+                         "one": (1, 0, 0, True, True), "far": (3, 70, 68, False, False), "early end": (3, 2, 0, False, False), None: (1, 1, 1, True, False)}
+    assert chains.missing_pages(table.where("false")).count() == chains.chain_summary(table.where("false")).count() == 0
+
+
+def test_workspaces_delete_what_they_hold(spark):
+    df = spark.range(5)
+    with Workspace(spark) as outer:
+        first = staged(df, "a")
+        with Workspace(spark):
+            second = staged(first, "b")
+            assert second.count() == 5
+        assert first.count() == 5 and os.path.isdir(outer.folder.removeprefix("file:"))
+    assert not os.path.exists(outer.folder.removeprefix("file:"))
+    outer.close()
+    assert outer.folder.startswith(shared_folder(spark))
