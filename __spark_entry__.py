@@ -14,7 +14,7 @@ import oracle  # noqa: E402
 from sparkcomments import adapters as A  # noqa: E402
 from sparkcomments.functions import inputs, normalize, rules, scoring, urls  # noqa: E402
 from sparkcomments.functions.patterns import java  # noqa: E402
-from sparkcomments.operators import aggregates, filters, ordering  # noqa: E402
+from sparkcomments.operators import aggregates, filters, listed, ordering  # noqa: E402
 from sparkcomments.plans import run as plan, scoring as batch  # noqa: E402
 from sparkcomments.sinks import tables as sinks  # noqa: E402
 from sparkcomments.sources import chains, pages as sources  # noqa: E402
@@ -104,6 +104,31 @@ def whitelist_blacklist(spark, sf_dir):
     return scored.select("arrival_pos", *(n for n in names if n != "signals"), F.array_join(matches, "|").alias("signal_matches"))
 
 
+def _listed_patterns(spark, sf_dir) -> DataFrame:
+    """User lists that grow with the tables: a piece of each third document, and the phrases' own words."""
+    place, size = 11 + c("doc_id") % 40, 3 + c("doc_id") % 23
+    pieces = A.table(spark, sf_dir, "documents", _spread(spark)).where(c("doc_id") % 3 == 0).select(
+        c("doc_id").alias("position"), F.substr(F.col("text"), place, size).alias("pattern"))
+    typed = [(-1 - i, pattern) for i, pattern in enumerate(oracle.BLACKLIST + oracle.WHITELIST)]
+    return pieces.unionByName(spark.createDataFrame(typed, "position long, pattern string"))
+
+
+def listed_patterns(spark, sf_dir):
+    rows = A.comments(spark, sf_dir, _spread(spark)).select("arrival_pos", "text")
+    return listed.first_listed(rows, "arrival_pos", "text", _listed_patterns(spark, sf_dir))
+
+
+def listed_blacklist(spark, sf_dir):
+    """The lists of whitelist_blacklist as tables."""
+    black, white = (
+        spark.createDataFrame(list(enumerate(patterns)), "position long, pattern string") for patterns in (oracle.BLACKLIST, oracle.WHITELIST))
+    names = ("is_spam", "spam_score", "reason", "legitimacy_reason", "signals", "primary_category", "normalized_text")
+    scored = batch.analyze_listed(
+        A.comments(spark, sf_dir, _spread(spark)), "arrival_pos", blacklist=black, whitelist=white, columns=names)
+    matches = F.transform("signals", lambda s: F.concat(s["category"], F.lit("="), s["matched_text"]))
+    return scored.select("arrival_pos", *(n for n in names if n != "signals"), F.array_join(matches, "|").alias("signal_matches"))
+
+
 def analyze_documents(spark, sf_dir):
     return batch.analyze_batch(A.table(spark, sf_dir, "documents", _spread(spark)).select("doc_id", "text")).select(
         "doc_id", "is_spam", "spam_score", "reason", F.array_join("categories", "|").alias("categories"),
@@ -352,7 +377,7 @@ QUERIES = (
     capped_spam, run_metadata, sorted_comments, sorted_spam, video_summary, totals, extract_video_id, url_summary,
     validate_requests, classify_fetch_errors, rejected_requests, failed_requests, filter_spam_batch, filter_spam_fractions, preset_sweep, export_metadata,
     export_comments, export_spam, saved_workbook, parse_comment_pages, video_pages, url_list, stream_scores,
-    stream_deduplicated, stream_capped, incomplete_videos, video_chains,
+    stream_deduplicated, stream_capped, incomplete_videos, video_chains, listed_patterns, listed_blacklist,
 )
 
 

@@ -73,17 +73,23 @@ def strength_label(threshold: Column) -> Column:
     )
 
 
-def clean_patterns(user_patterns: Sequence[str] | None) -> list[str]:
-    """User patterns without surrounding white space and without blank ones."""
+def clean_patterns(user_patterns: Sequence[str] | Column | None) -> list[str] | Column:
+    """User patterns without surrounding white space and without blank ones; a column stays."""
+    if isinstance(user_patterns, Column):
+        return user_patterns
     return [p.strip() for p in user_patterns or () if p.strip()]
 
 
-def first_pattern(folded_text: Column, user_patterns: Sequence[str]) -> Column:
+def first_pattern(folded_text: Column, user_patterns: Sequence[str] | Column) -> Column:
     """The first pattern, in list order, that the text contains; null if none.
 
+    A column holds it already, folded (``operators.listed``).
+
     The list is folded once, here.  Rows are tested with one alternation; only
     those that hit look for the entry.
     """
+    if isinstance(user_patterns, Column):
+        return user_patterns
     folded = list(map(N.folded, user_patterns))
     entries = F.expr(f"array({', '.join(map(sql, folded))})")
     first = F.get(F.filter(entries, lambda p: folded_text.contains(p)), F.lit(0))
@@ -182,6 +188,10 @@ def _normalized(df: DataFrame, text: Column, out: str) -> DataFrame:
     return df
 
 
+def _given(user_patterns) -> bool:
+    return isinstance(user_patterns, Column) or bool(user_patterns)
+
+
 def _gates(df, text, author, likes, threshold, blacklist, whitelist) -> DataFrame:
     """Inputs as non-null columns, the gate every row takes, its normalised text."""
     raw = F.coalesce(text, F.lit(""))
@@ -195,15 +205,15 @@ def _gates(df, text, author, likes, threshold, blacklist, whitelist) -> DataFram
         "length": F.char_length(N.strip(raw)),
     })
     gate = f"WHEN {_P}length = 0 THEN {_BLANK}"
-    if blacklist or whitelist:
+    given = {name: x for name, x in (("white", whitelist), ("black", blacklist)) if _given(x)}
+    if given:
         df = _add(df, {"folded": N.fold_case(F.col(f"{_P}text"))})
         df = _add(df, {
-            name: first_pattern(F.col(f"{_P}folded"), user_patterns)
-            for name, user_patterns in (("white", whitelist), ("black", blacklist)) if user_patterns
+            name: first_pattern(F.col(f"{_P}folded"), user_patterns) for name, user_patterns in given.items()
         })
-    if whitelist:
+    if "white" in given:
         gate += f" WHEN {_P}white IS NOT NULL THEN {_WHITE}"
-    if blacklist:
+    if "black" in given:
         gate += f" WHEN {_P}black IS NOT NULL THEN {_BLACK}"
     df = _add(df, {"gate": f"CASE {gate} ELSE {_SCORED} END"})
     df = _add(df, {
@@ -260,7 +270,10 @@ def _scores(df, signals, legitimacy) -> DataFrame:
     df = _add(df, {"weights": f"array({', '.join(weights)})"})
     df = _add(df, {
         "ranked": f"sort_array({_P}weights, false)",
-        "n_signals": " + ".join(f"int({_P}weights[{i}] > 0D)" for i in range(n)),
+        "n_signals": " + ".join(
+            # A rule of weight 0 is a signal too: its slot is counted by its hits.
+            f"int({_in_slot(slot, lambda r: '1', '0')})" if any(not r.counted and not r.weight for r in slot) else f"int({_P}weights[{i}] > 0D)"
+            for i, slot in enumerate([(), *slots(signals)])),
     })
     # Absent signals weigh 0.0, so the sum is the one over present signals.
     base = " + ".join(f"{_P}ranked[{i}] * {sql(DECAY ** i)}" for i in range(n))
@@ -330,12 +343,12 @@ def _explanations(signals, legitimacy, blacklist, whitelist) -> dict[str, str]:
     result["legitimacy_reason"] = f"array_join(array({names}), '; ')"
 
     overrides: dict[str, list[str]] = {}
-    if whitelist:
+    if _given(whitelist):
         when = f"WHEN {_P}gate = {_WHITE} THEN "
         overrides.setdefault("legitimacy_signals", []).append(
             when + f"array({_struct(_BONUS_FIELDS, *map(sql, WHITELISTED))})")
         overrides.setdefault("legitimacy_reason", []).append(when + sql(WHITELISTED[0]))
-    if blacklist:
+    if _given(blacklist):
         when = f"WHEN {_P}gate = {_BLACK} THEN "
         found = f"substring({_P}text, locate({_P}black, {_P}folded), char_length({_P}black))"
         struct = _struct(_SIGNAL_FIELDS, *map(sql, BLACKLISTED), found)
@@ -352,14 +365,20 @@ def _explanations(signals, legitimacy, blacklist, whitelist) -> dict[str, str]:
     return result
 
 
+def verdict(threshold: Column, final: str = "final", gate: str = "gate") -> Column:
+    """Whether a row scored before is spam at a threshold, from the working columns ``final`` and ``gate``."""
+    limit = F.greatest(F.lit(0.0), F.least(F.lit(1.0), threshold))
+    return F.col(gate).isin(_BLACK, _SCORED) & (F.col(final) >= limit)
+
+
 def analyze(
     df: DataFrame,
     text: Column,
     author: Column | None = None,
     likes: Column | None = None,
     threshold: float | Column = DEFAULT_THRESHOLD,
-    blacklist: Sequence[str] | None = None,
-    whitelist: Sequence[str] | None = None,
+    blacklist: Sequence[str] | Column | None = None,
+    whitelist: Sequence[str] | Column | None = None,
     signals: Sequence[rules.Signal] = rules.SIGNALS,
     legitimacy: Sequence[rules.Legitimacy] = rules.LEGITIMACY,
     columns: Sequence[str] = RESULT_COLUMNS,
@@ -370,7 +389,7 @@ def analyze(
 
     ``working`` names further columns for queries over single rules: rule ids
     (flags), ``lookalike``, ``S03_count``, ``weights``, ``n_signals``, ``base``,
-    ``adjustment``, ``final``.  Only what is named is computed.  Result columns get
+    ``adjustment``, ``final``, ``gate``.  Only what is named is computed.  Result columns get
     ``prefix`` before their names and replace columns of the same name.
     """
     require_configured(df.sparkSession)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scoring
 from ..functions.inputs import fetch_failure, shown_failure
@@ -69,12 +69,15 @@ def requested_videos(requests: DataFrame, videos: DataFrame, failures: DataFrame
     """(requests with their video, rejected requests).
 
     A request is rejected for the first reason found: its URL, a failed fetch of
-    its video, no such video.  Of repeated rows of a video, the greatest in column
-    order counts.
+    its video, no such video.  Of repeated rows of a video the latest by ``landed``
+    counts, where there is such a column (``read_video_pages`` keeps one row anyway);
+    of equally late ones the greatest in column order.
     """
     c = F.col
-    others = [name for name in videos.columns if name != "video_id"]
-    videos = videos.groupBy("video_id").agg(F.max(F.struct(*others)).alias("v")).select("video_id", "v.*")
+    late = [name for name in videos.columns if name == "landed"]
+    others = [name for name in videos.columns if name not in ("video_id", "landed")]
+    videos = videos.groupBy("video_id").agg(F.max(F.struct(*late, *others)).alias("v")).select(
+        "video_id", *(f"v.{name}" for name in others))
     found = requests.join(videos.withColumnRenamed("url", "video_url").withColumn("_found", F.lit(True)), "video_id", "left")
     if failures is not None:
         failed_id, (kind, message) = video_id(c("url")), fetch_failure(c("status"), c("body"))
@@ -100,35 +103,43 @@ def requested_videos(requests: DataFrame, videos: DataFrame, failures: DataFrame
     return found.where(c("reason").isNull()).drop("_found", "_failure", "reason", "message"), rejects
 
 
-def select_comments(requested: DataFrame, comments: DataFrame) -> DataFrame:
-    """Comments of the requested videos that pass the filters before scoring."""
-    c = F.col
-    asked = requested.select(
-        "request_pos", "video_id", c("channel_id").alias("_creator"), "min_likes", "max_comments",
-        words_pattern(c("words")).alias("_pattern"),
+def asked_for(requested: DataFrame) -> DataFrame:
+    """What each request asks of its video's comments."""
+    return requested.select(
+        "request_pos", F.col("video_id").alias("_video"), F.col("channel_id").alias("_creator"), "min_likes", "max_comments",
+        words_pattern(F.col("words")).alias("_pattern"),
         "date_from", "date_to", "filter_spam", "exclude_creator", "sort_by", "threshold",
     )
-    joined = comments.join(asked, "video_id").withColumn(
-        "is_creator", filters.is_creator("author_channel_id", "_creator"))
-    return joined.where(
-        filters.not_by_creator(c("exclude_creator"))
+
+
+def _passes() -> Column:
+    """Whether a comment beside a request is of its video and passes its filters before scoring."""
+    c = F.col
+    return (
+        (c("video_id") == c("_video"))
+        & ~(c("exclude_creator") & filters.is_creator("author_channel_id", "_creator"))
         & filters.min_likes(c("min_likes"))
         & filters.in_date_range(c("date_from"), c("date_to"))
         & matches_words(c("text"), c("_pattern"))
-    ).drop("_creator", "_pattern", "min_likes", "date_from", "date_to", "exclude_creator")
+    )
 
 
-def score_selected(selected: DataFrame, blacklist=None, whitelist=None) -> DataFrame:
-    """Selected comments with verdict and reasons; requests without spam filter keep all."""
-    c = F.col
-    scored = scoring.analyze(
-        selected.withColumnRenamed("threshold", "_limit"), c("text"), c("author_name"), c("like_count"),
-        c("_limit"), blacklist, whitelist,
-        columns=("is_spam", "spam_score", "reason", "primary_category", "had_obfuscation"),
+def score_requested(asked: DataFrame, comments: DataFrame, blacklist=None, whitelist=None) -> DataFrame:
+    """Comments that some request selects, each scored once, whatever number of requests does."""
+    selected = comments.select(*COMMENT_COLUMNS[:-1]).join(asked, _passes(), "left_semi")
+    return scoring.analyze(
+        selected, F.col("text"), F.col("author_name"), F.col("like_count"), blacklist=blacklist, whitelist=whitelist,
+        columns=("spam_score", "reason", "primary_category", "had_obfuscation"), working=("final", "gate"),
     )
-    return scored.select(
-        "request_pos", "sort_by", "max_comments", *COMMENT_COLUMNS,
-        (c("filter_spam") & c("is_spam")).alias("is_spam"),
+
+
+def deal_to_requests(scored: DataFrame, asked: DataFrame) -> DataFrame:
+    """Scored comments of each request, with the verdict at its threshold; without spam filter all are kept."""
+    c = F.col
+    return scored.join(asked, _passes()).select(
+        "request_pos", "sort_by", "max_comments", *COMMENT_COLUMNS[:-1],
+        filters.is_creator("author_channel_id", "_creator").alias("is_creator"),
+        (c("filter_spam") & scoring.verdict(c("threshold"))).alias("is_spam"),
         "spam_score", c("reason").alias("spam_reason"),
         F.coalesce("primary_category", F.lit("")).alias("spam_category"), "had_obfuscation",
     )
@@ -144,12 +155,14 @@ def run(
 ) -> Result:
     """Metadata, kept comments and flagged spam for every request.
 
-    Comments are scored once, into a table partitioned by verdict; the cap, the
-    counts and both outputs read only the columns they need from it.
+    A comment is scored once, however many requests select it, and then dealt to
+    them: into a table partitioned by verdict; the cap, the counts and both outputs
+    read only the columns they need from it.  The table is one of the workspace in
+    use (``sparkcomments.staging``): read the results before that is closed.
     """
     requested, rejects = requested_videos(requests, videos, failures)
-    scored = staged(
-        score_selected(select_comments(requested, comments), blacklist, whitelist), "scored", "is_spam")
+    asked = asked_for(requested)
+    scored = staged(deal_to_requests(score_requested(asked, comments, blacklist, whitelist), asked), "scored", "is_spam")
     read = cap.capped(scored, "request_pos", "max_comments", ~F.col("is_spam"))
     spam = read.where("is_spam")
     metadata = aggregates.with_spam_filtered(

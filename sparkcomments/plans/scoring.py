@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scoring
 from ..functions.inputs import lenient_likes
+from ..operators import listed
 
 
 def analyze_comments(
@@ -16,8 +17,8 @@ def analyze_comments(
     author_col: str | None = "author_name",
     likes_col: str | None = "like_count",
     threshold: float | Column = scoring.DEFAULT_THRESHOLD,
-    blacklist: Sequence[str] | None = None,
-    whitelist: Sequence[str] | None = None,
+    blacklist: Sequence[str] | Column | None = None,
+    whitelist: Sequence[str] | Column | None = None,
     columns: Sequence[str] = scoring.RESULT_COLUMNS,
     prefix: str = "",
 ) -> DataFrame:
@@ -30,6 +31,22 @@ def analyze_comments(
     )
 
 
+def analyze_listed(
+    df: DataFrame, key: str, text_col: str = "text", author_col: str | None = "author_name", likes_col: str | None = "like_count",
+    threshold: float | Column = scoring.DEFAULT_THRESHOLD, blacklist: DataFrame | None = None, whitelist: DataFrame | None = None,
+    columns: Sequence[str] = scoring.RESULT_COLUMNS,
+) -> DataFrame:
+    """:func:`analyze_comments` with lists of any size, as tables ``position, pattern``; ``key`` is unique."""
+    given = {"blacklist": blacklist, "whitelist": whitelist}
+    found = {name: f"_{name}" for name, patterns in given.items() if patterns is not None}
+    kept = df.columns
+    for name, out in found.items():
+        df = listed.with_first_listed(df, key, text_col, given[name], out)
+    scored = analyze_comments(df, text_col, author_col, likes_col, threshold, columns=columns,
+                              **{name: F.col(out) for name, out in found.items()})
+    return scored.select(*(F.col(f"`{name}`") for name in dict.fromkeys([*kept, *columns])))
+
+
 def analyze_batch(df: DataFrame, text_col: str = "text", threshold: float = scoring.DEFAULT_THRESHOLD) -> DataFrame:
     """Every row with its verdict, from the text alone."""
     return analyze_comments(df, text_col, None, None, threshold)
