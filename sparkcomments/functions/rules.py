@@ -10,26 +10,42 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from .prefilter import Prefilter, prefilter
+
 NORM = "norm"      # normalised text
 RAW = "raw"        # text as posted
 AUTHOR = "author"  # display name as posted
 
 
+class _Pattern:
+    """What a text must hold for the pattern to be tried; it only saves work."""
+
+    @property
+    def prefilter(self) -> Prefilter:
+        # Starts are looked for in the normalised text, in lower case.
+        return prefilter(self.pattern, self.source == NORM and self.ignore_case)
+
+    @property
+    def starts(self) -> tuple[str, ...]:
+        return self.prefilter.starts
+
+    @property
+    def hints(self) -> tuple[str, ...]:
+        return self.prefilter.hints
+
+    @property
+    def probe(self) -> str | None:
+        return self.prefilter.probe
+
+
 @dataclass(frozen=True)
-class Signal:
+class Signal(_Pattern):
     """One spam signal.
 
     ``slot`` groups either/or rules: of the rules sharing a slot, only the first
     that hits counts.  ``label`` is what is reported as the match; ``None``
-    reports the matched text itself.  
-
-    ``starts`` and ``hints`` only save work: a text can match only if one of
-    ``starts`` begins one of its words (or, being a symbol, occurs) and one of
-    ``hints`` occurs anywhere in it and the
-    simpler pattern ``probe`` matches, each only where given.  Otherwise the pattern is not tried.
-
-    ``counted`` makes the weight grow with the number of matches: base, step for
-    each match, top.
+    reports the matched text itself.  ``counted`` makes the weight grow with the
+    number of matches: base, step for each match, top.
     """
 
     id: str
@@ -41,14 +57,11 @@ class Signal:
     pattern: str
     label: str | None = None
     ignore_case: bool = True
-    starts: tuple[str, ...] = ()
-    hints: tuple[str, ...] = ()
-    probe: str | None = None
     counted: tuple[float, float, float] | None = None
 
 
 @dataclass(frozen=True)
-class Legitimacy:
+class Legitimacy(_Pattern):
     """One pattern based legitimacy signal; ``bonus`` is negative."""
 
     id: str
@@ -58,9 +71,6 @@ class Legitimacy:
     pattern: str
     label: str | None = None
     ignore_case: bool = True
-    starts: tuple[str, ...] = ()
-    hints: tuple[str, ...] = ()
-    probe: str | None = None
 
 
 # --------------------------------------------------------------------------
@@ -97,71 +107,34 @@ EDUCATIONAL = r"\b(what\s*is|how\s*(does|do|to)|explain|learn(ing)?\s*about|unde
 CRYPTO_BASE, CRYPTO_STEP, CRYPTO_TOP = 0.35, 0.08, 0.65
 
 
-
-def _words(text: str) -> tuple[str, ...]:
-    return tuple(text.split())
-
-
 SIGNALS: tuple[Signal, ...] = (
-    Signal("S02", "S02", "seed_phrase_scam", "Seed phrase / wallet scam pattern", 0.75, NORM, SEED_PHRASE,
-           starts=_words("seed recovery mnemonic 12 24 multi help share split stuck can't need"),
-           hints=_words("seed recovery mnemonic word multi transfer withdraw access share split stuck")),
+    Signal("S02", "S02", "seed_phrase_scam", "Seed phrase / wallet scam pattern", 0.75, NORM, SEED_PHRASE),
     Signal("S03", "S03", "crypto_scam", "Crypto/trading keywords", CRYPTO_TOP, NORM, CRYPTO,
-           starts=_words("crypto bitcoin btc eth altcoin blockchain nft binance coinbase kraken kucoin bybit okx bitget mexc usdt usdc tether doge shiba pepe defi yield staking airdrop whitelist presale web3 metaverse token ico ido forex fx binary trading 10x 100x 1000x moon lambo hodl wagmi ngmi fomo fud"),
            counted=(CRYPTO_BASE, CRYPTO_STEP, CRYPTO_TOP)),
-    Signal("S04", "S04", "financial_scam", "Financial promises/guarantees", 0.60, NORM, FINANCIAL,
-           hints=_words("$ % guaranteed double risk turn transform convert make earn passive financial quit")),
-    Signal("S05a", "S05", "platform_redirect", "Platform redirect link", 0.55, NORM, PLATFORM_REDIRECT,
-           starts=_words("/ @")),
-    Signal("S05b", "S05", "contact_solicitation", "Contact solicitation", 0.45, NORM, CONTACT,
-           starts=_words("contact message text chat reach dm pm inbox whatsapp telegram signal discord send hit slide add follow")),
-    Signal("S06", "S06", "contact_solicitation", "Phone number detected", 0.40, RAW, PHONE, "[phone number]", False,
-           probe=r"\d{3}|\+\d"),
-    Signal("S07", "S07", "contact_solicitation", "Email address detected", 0.20, NORM, EMAIL, "[email]",
-           starts=_words("@ [ (")),
-    Signal("S08", "S08", "fake_pinned", "Fake pinned comment pattern", 0.65, NORM, FAKE_PINNED,
-           hints=_words("pinned official")),
+    Signal("S04", "S04", "financial_scam", "Financial promises/guarantees", 0.60, NORM, FINANCIAL),
+    Signal("S05a", "S05", "platform_redirect", "Platform redirect link", 0.55, NORM, PLATFORM_REDIRECT),
+    Signal("S05b", "S05", "contact_solicitation", "Contact solicitation", 0.45, NORM, CONTACT),
+    Signal("S06", "S06", "contact_solicitation", "Phone number detected", 0.40, RAW, PHONE, "[phone number]", False),
+    Signal("S07", "S07", "contact_solicitation", "Email address detected", 0.20, NORM, EMAIL, "[email]"),
+    Signal("S08", "S08", "fake_pinned", "Fake pinned comment pattern", 0.65, NORM, FAKE_PINNED),
     Signal("S09", "S09", "impersonation", "Fake verification badge in username", 0.50, AUTHOR, BADGE, "[badge character]", False),
     Signal("S10", "S10", "impersonation", "Suspicious username suffix", 0.25, AUTHOR, AUTHOR_SUFFIX),
-    Signal("S11", "S11", "channel_promotion", "Channel/profile promotion", 0.40, NORM, CHANNEL_PROMOTION,
-           starts=_words("check visit see view watch subscribe follow my our sub link i"),
-           hints=_words("channel page profile account video content link podcast sub")),
-    Signal("S12", "S12", "self_promotion", "Self-promotion phrases", 0.30, NORM, SELF_PROMOTION,
-           starts=_words("check must you click tap link see bio support"),
-           hints=_words("check watch see link support")),
-    Signal("S13", "S13", "book_promotion", "Book/product promotion", 0.45, NORM, BOOK_PROMOTION,
-           starts=_words("my book ebook get download available order buy #"),
-           hints=_words("book guide course program masterclass copy pdf amazon kindle audible #")),
-    Signal("S14a", "S14", "phishing", "Shortened URL (suspicious)", 0.40, NORM, SHORTENED_URL,
-           starts=_words("/")),
-    Signal("S14b", "S14", "self_promotion", "URL detected", 0.15, NORM, URL, "[url]",
-           hints=_words("/ www.")),
-    Signal("S15a", "S15", "bot_pattern", "Template markers detected", 0.70, NORM, TEMPLATE,
-           starts=_words("[ { <")),
-    Signal("S15b", "S15", "bot_pattern", "Generic bot-like phrase", 0.20, NORM, BOT_PHRASE,
-           starts=_words("this i finally best wish can't life game must"),
-           hints=_words("changed struggling finally decision sooner exactly believe changing changer must started")),
-    Signal("S16", "S16", "adult_content", "Adult/inappropriate content", 0.60, NORM, ADULT, "[adult content]",
-           starts=_words("onlyfans of 18 adult xxx porn nude sexy dating hookup sex s3x horny h0rny check see"),
-           hints=_words("onlyfans link 18 adult xxx porn nude sex dating hookup s3x horny h0rny profile bio")),
-    Signal("S17", "S17", "engagement_bait", "Engagement bait", 0.15, NORM, ENGAGEMENT_BAIT,
-           starts=_words("like comment who anyone first second third early notification"),
-           hints=_words("like comment 20 first second third squad")),
+    Signal("S11", "S11", "channel_promotion", "Channel/profile promotion", 0.40, NORM, CHANNEL_PROMOTION),
+    Signal("S12", "S12", "self_promotion", "Self-promotion phrases", 0.30, NORM, SELF_PROMOTION),
+    Signal("S13", "S13", "book_promotion", "Book/product promotion", 0.45, NORM, BOOK_PROMOTION),
+    Signal("S14a", "S14", "phishing", "Shortened URL (suspicious)", 0.40, NORM, SHORTENED_URL),
+    Signal("S14b", "S14", "self_promotion", "URL detected", 0.15, NORM, URL, "[url]"),
+    Signal("S15a", "S15", "bot_pattern", "Template markers detected", 0.70, NORM, TEMPLATE),
+    Signal("S15b", "S15", "bot_pattern", "Generic bot-like phrase", 0.20, NORM, BOT_PHRASE),
+    Signal("S16", "S16", "adult_content", "Adult/inappropriate content", 0.60, NORM, ADULT, "[adult content]"),
+    Signal("S17", "S17", "engagement_bait", "Engagement bait", 0.15, NORM, ENGAGEMENT_BAIT),
 )
 
 LEGITIMACY: tuple[Legitimacy, ...] = (
-    Legitimacy("L1", "Video timestamp reference", -0.25, RAW, TIMESTAMP, None, False,
-               hints=_words(": timestamp timecode")),
-    Legitimacy("L2", "Reply to specific user", -0.15, RAW, REPLY, "[@username]", False,
-               hints=_words("@")),
-    Legitimacy("L3", "Asks a question", -0.15, NORM, QUESTION, "[question]",
-               starts=_words("? how what why when where who which can could would should does has is are")),
-    Legitimacy("L4", "Genuine discussion", -0.20, NORM, DISCUSSION,
-               starts=_words("i in imo imho great thank this good well helpful informative insightful as"),
-               hints=_words("think opinion imo imho agree point video content expla tutorial thank helped clarifies learned understood finally job work done said helpful informative insightful struggling trying beginner student developer teacher parent")),
-    Legitimacy("L5", "Balanced feedback", -0.10, NORM, BALANCED,
-               starts=_words("but one could i slight minor small not on"),
-               hints=_words("think maybe however thing suggest critique better improved recommend issue problem sure hand")),
-    Legitimacy("L6", "Educational context", -0.20, NORM, EDUCATIONAL,
-               starts=_words("what how explain learn understand teach tutorial guide beginner newbie noob started can eli5 difference compared pro advantage")),
+    Legitimacy("L1", "Video timestamp reference", -0.25, RAW, TIMESTAMP, None, False),
+    Legitimacy("L2", "Reply to specific user", -0.15, RAW, REPLY, "[@username]", False),
+    Legitimacy("L3", "Asks a question", -0.15, NORM, QUESTION, "[question]"),
+    Legitimacy("L4", "Genuine discussion", -0.20, NORM, DISCUSSION),
+    Legitimacy("L5", "Balanced feedback", -0.10, NORM, BALANCED),
+    Legitimacy("L6", "Educational context", -0.20, NORM, EDUCATIONAL),
 )
