@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import sys
 from collections.abc import Callable
@@ -51,6 +52,17 @@ def obfuscation_flag(spark, sf_dir):
         c("author_name").rlike(java(rules.BADGE)).alias("has_badge"))
 
 
+def normalize_variants(spark, sf_dir):
+    return scoring.normalized(A.variants(spark, sf_dir, _spread(spark)), c("text")).select("doc_id", "normalized_text")
+
+
+def threshold_clamp(spark, sf_dir):
+    """Blank texts, and thresholds outside of the range that counts."""
+    names = ("is_spam", "spam_score", "threshold", "reason")
+    rows = A.variants(spark, sf_dir, _spread(spark)).withColumnRenamed("threshold", "_wanted")
+    return scoring.analyze(rows, c("text"), threshold=c("_wanted"), columns=names).select("doc_id", *names)
+
+
 def signal_hits(spark, sf_dir):
     entries = ["(IF(lookalike, 'S01', NULL), weights[0])"]
     for i, slot in enumerate(scoring.slots(rules.SIGNALS), 1):
@@ -219,6 +231,11 @@ def validate_requests(spark, sf_dir):
         {"warnings": F.array_join("warnings", "; "), "words": F.array_join("words", "|")})
 
 
+def date_checks(spark, sf_dir):
+    rows = A.raw_requests(spark, sf_dir, _spread(spark))
+    return rows.select("request_pos", *(inputs.date_error(c(name)).alias(f"{name}_error") for name in ("date_from", "date_to")))
+
+
 def classify_fetch_errors(spark, sf_dir):
     kind, message = inputs.fetch_failure(c("status"), c("body"))
     return A.fetch_log(spark, sf_dir, _spread(spark)).select(
@@ -268,6 +285,30 @@ def saved_workbook(spark, sf_dir):
     return spark.read.parquet(f"{folder}/{sinks.WORKBOOK_TABLES[1]}")
 
 
+def _lines(sheets: dict[str, DataFrame]) -> DataFrame:
+    """The rows of several tables, each as one line."""
+    lines = [df.select(F.lit(name).alias("sheet"), F.concat_ws("|", *(F.col(f"`{x}`").cast("string") for x in df.columns)).alias("line"))
+             for name, df in sheets.items()]
+    return functools.reduce(DataFrame.unionByName, lines)
+
+
+def _exports(spark, sf_dir) -> list[DataFrame]:
+    result = _run(spark, sf_dir)
+    return [sinks.export_metadata(result.metadata), sinks.export_comments(result.comments), sinks.export_spam(result.spam)]
+
+
+def workbook_sheets(spark, sf_dir):
+    """All three sheets of a workbook, written and read back."""
+    folder = sinks.save_workbook(workspace(spark).path("workbook"), *_exports(spark, sf_dir))
+    return _lines({name: spark.read.parquet(f"{folder}/{name}") for name in sinks.WORKBOOK_TABLES})
+
+
+def saved_csv(spark, sf_dir):
+    """All three CSV tables, written and read back."""
+    base = sinks.save_csv(workspace(spark).path("csv"), *_exports(spark, sf_dir))
+    return _lines({name: sinks.read_csv(spark, base, name) for name in ("metadata", "comments", "spam")})
+
+
 def _pages(spark, sf_dir) -> DataFrame:
     """The comments as API answers: one page per stretch of 100 positions of a video."""
     rows = A.comments(spark, sf_dir, _spread(spark))
@@ -378,12 +419,13 @@ QUERIES = (
     validate_requests, classify_fetch_errors, rejected_requests, failed_requests, filter_spam_batch, filter_spam_fractions, preset_sweep, export_metadata,
     export_comments, export_spam, saved_workbook, parse_comment_pages, video_pages, url_list, stream_scores,
     stream_deduplicated, stream_capped, incomplete_videos, video_chains, listed_patterns, listed_blacklist,
+    normalize_variants, threshold_clamp, date_checks, workbook_sheets, saved_csv,
 )
 
 
-def entry(spark: SparkSession) -> DataFrame:
+def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
     """Flagship query: kept comments and flagged spam per video."""
-    return video_summary(spark, "/root/testdata/sf0.001")
+    return video_summary(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -26,6 +26,13 @@ PHRASES = (
 )
 
 
+# Pieces with invisible characters, marks, and characters that decompose into several.
+VARIANTS = (
+    "ze\u200bro wi\u2060dth", "e\u0301te\u0301 a\u030a", "\ufb01nal o\ufb03ce", "\xbd cup \u2163", "5\u338f \u2122",
+    "wait\u2026", "\ud55c\uae00", "\uff22\uff35\uff39 now", "\xc5ngstr\xf6m \u1e9b\u0323", "\ufeffplain",
+)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, spread: int | None = None) -> DataFrame:
     """A test table; ``spread`` deals its rows over so many partitions, for tables of one unsplittable file."""
     df = configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
@@ -52,6 +59,19 @@ def comments(spark: SparkSession, sf_dir: str, spread: int | None = None) -> Dat
     )
 
 
+def variants(spark: SparkSession, sf_dir: str, spread: int | None = None) -> DataFrame:
+    """``doc_id, text, threshold``: the start of each document with one of the pieces; some texts blank or null.
+
+    Thresholds lie below, in and above the range that counts.
+    """
+    c, n = F.col, F.col("doc_id") % 11
+    piece, phrase = (F.expr(f"array({', '.join(map(sql, x))})[int(doc_id % {len(x)})]") for x in (VARIANTS, PHRASES))
+    text = F.when(n == 0, "").when(n == 1, " \t\n ").when(n == 2, F.lit(None)).otherwise(
+        F.concat(F.substring("text", 1, 120), F.lit(" "), piece, F.lit(" "), phrase))
+    return table(spark, sf_dir, "documents", spread).select(
+        "doc_id", text.alias("text"), F.when(c("doc_id") % 3 == 0, -1.0).when(c("doc_id") % 3 == 1, 0.4).otherwise(2.0).alias("threshold"))
+
+
 def videos(spark: SparkSession, sf_dir: str, spread: int | None = None) -> DataFrame:
     """One video per id among the comments; its creator wrote the first comment."""
     first = comments(spark, sf_dir, spread).groupBy("video_id").agg(

@@ -21,16 +21,54 @@ LEET_FROM = "@4^8(<{3€69#1!|0ø$57+µ2"
 LEET_TO = "aaabccceegghiiioossttuz"
 
 # Zero-width and invisible characters.
-ZERO_WIDTH = "​‌‍⁠﻿­͏⁡⁢⁣⁤"
+ZERO_WIDTH = (
+    "\u200b"  # zero width space
+    "\u200c"  # zero width non-joiner
+    "\u200d"  # zero width joiner
+    "\u2060"  # word joiner
+    "\ufeff"  # zero width no-break space
+    "\u00ad"  # soft hyphen
+    "\u034f"  # combining grapheme joiner
+    "\u2061"  # function application
+    "\u2062"  # invisible times
+    "\u2063"  # invisible separator
+    "\u2064"  # invisible plus
+)
 
 # Marks that split up a word to hide it.
 WORD_BREAKERS = ".\"'-_`"
 
 # White space, as text.
 WHITESPACE = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
-    "           "
-    "    　"
+    "\u0009"  # tab
+    "\u000a"  # line feed
+    "\u000b"  # vertical tab
+    "\u000c"  # form feed
+    "\u000d"  # carriage return
+    "\u001c"  # file separator
+    "\u001d"  # group separator
+    "\u001e"  # record separator
+    "\u001f"  # unit separator
+    "\u0020"  # space
+    "\u0085"  # next line
+    "\u00a0"  # no-break space
+    "\u1680"  # ogham space mark
+    "\u2000"  # en quad
+    "\u2001"  # em quad
+    "\u2002"  # en space
+    "\u2003"  # em space
+    "\u2004"  # three-per-em space
+    "\u2005"  # four-per-em space
+    "\u2006"  # six-per-em space
+    "\u2007"  # figure space
+    "\u2008"  # punctuation space
+    "\u2009"  # thin space
+    "\u200a"  # hair space
+    "\u2028"  # line separator
+    "\u2029"  # paragraph separator
+    "\u202f"  # narrow no-break space
+    "\u205f"  # medium mathematical space
+    "\u3000"  # ideographic space
 )
 
 # Hangul syllables decompose by arithmetic: (first, last) syllable, number of

@@ -27,13 +27,18 @@ def shared_folder(spark: SparkSession) -> str:
     return (folder or spark.conf.get("spark.sql.warehouse.dir") + "/_work").rstrip("/")
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder and all in it, wherever it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Workspace:
     """A folder for the tables of one run; what it holds can be read until it is closed."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.folder = f"{shared_folder(spark)}/sparkcomments-{uuid.uuid4().hex}"
-        self._jvm, self._conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        self._outer = None
+        self._spark, self._outer = spark, None
 
     def path(self, name: str) -> str:
         """A new path in the folder."""
@@ -54,8 +59,7 @@ class Workspace:
 
     def close(self) -> None:
         """Delete the folder, wherever the shared folder is; closing twice does no harm."""
-        path = self._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self._conf).delete(path, True)
+        delete_folder(self._spark, self.folder)
 
     def __enter__(self) -> "Workspace":
         self._outer = _innermost.set(self)
@@ -83,5 +87,5 @@ def close_applications() -> None:
         _, own = _of_applications.popitem()
         try:
             own.close()
-        except (Py4JError, OSError):  # the JVM has gone before
+        except (Py4JError, OSError, AttributeError):  # the session has gone before
             pass
