@@ -8,7 +8,7 @@ it is neither collected nor broadcast by hint.
 
 Most places of a text start no anchor.  They are left out where the text is read,
 by a Bloom filter over the list's anchors: a fixed number of bits, which is all
-that the plan holds of the list.  A fuller filter lets more places through; the
+that tasks are given of the list.  A fuller filter lets more places through; the
 result is the same.  Of the places that pass, the key, the hash and as many
 characters as the longest pattern has are shuffled; whole texts are not.
 """
@@ -21,7 +21,7 @@ from ..functions import normalize as N
 from ..staging import staged
 
 ANCHOR = 8       # code points of an anchor
-FILTER_BITS = 21  # the filter has two to this power
+FILTER_BITS = 20  # the filter has two to this power
 
 
 def pattern_table(patterns: DataFrame, order: str = "position", pattern: str = "pattern") -> DataFrame:
@@ -41,20 +41,18 @@ def _filter_places(anchor: str, bits: int) -> tuple[str, str]:
     return f"({anchor} & {(1 << bits) - 1}L)", f"shiftrightunsigned({anchor}, {64 - bits})"
 
 
-def anchor_filter(listed: DataFrame, bits: int) -> str:
-    """The filter's words as SQL; two bits for each anchor."""
+def anchor_filter(listed: DataFrame, bits: int) -> DataFrame:
+    """The filter as one row: its words in order, two bits for each anchor."""
     places = listed.select(F.expr(f"explode(array({', '.join(_filter_places('anchor', bits))}))").alias("place"))
-    words = places.groupBy(F.shiftright("place", 6).cast("int").alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, int(place & 63))")).alias("bits"))
-    filled = [0] * (1 << bits - 6)
-    for row in words.collect():  # at most 2 ** (bits - 6) of them, whatever the list
-        filled[row.word] = row.bits
-    return f"cast(split('{','.join(map(str, filled))}', ',') AS array<bigint>)"
+    words = places.select(F.shiftright("place", 6).alias("word"), F.expr("shiftleft(1L, int(place & 63))").alias("bits"))
+    all_words = words.unionByName(listed.sparkSession.range(1 << bits - 6).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits")))
+    filled = all_words.groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    return filled.agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("words")).select("words.bits")
 
 
-def _met(word_bits: str, anchor: str, bits: int) -> str:
+def _met(words: str, anchor: str, bits: int) -> str:
     return " AND ".join(
-        f"(shiftright({word_bits}[int(shiftright({place}, 6))], int({place} & 63)) & 1L) = 1L" for place in _filter_places(anchor, bits))
+        f"(shiftright({words}[int(shiftright({place}, 6))], int({place} & 63)) & 1L) = 1L" for place in _filter_places(anchor, bits))
 
 
 def first_listed(
@@ -70,23 +68,18 @@ def first_listed(
     listed = staged(pattern_table(patterns, order, pattern), "patterns")
     sizes = sorted(r[0] for r in listed.select("size").distinct().collect())  # at most ANCHOR of them
     longest = listed.agg(F.coalesce(F.max(F.char_length("pattern")), F.lit(0))).first()[0]
-    words = anchor_filter(listed, filter_bits)
+    words = staged(anchor_filter(listed, filter_bits), "anchors").scalar()
     folded = rows.select(F.col(f"`{key}`").alias("_key"), N.fold_case(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("_text"))
-    spelled = folded.where("_text != ''").select("_key", characters(F.col("_text")).alias("_letters"))
-    found = None
-    for size in sizes:
-        at = F.expr(f"""filter(
-            transform(sequence(1, size(_letters) - {size - 1}), i -> struct(i AS at, xxhash64(slice(_letters, i, {size})) AS anchor)),
-            x -> {_met(words, 'x.anchor', filter_bits)})""")
-        places = spelled.where(F.size("_letters") >= size).select("_key", "_letters", F.explode(at).alias("_at"))
-        places = places.select(
-            "_key", F.col("_at.anchor").alias("anchor"), F.lit(size).alias("size"),
-            F.array_join(F.slice("_letters", F.col("_at.at"), F.lit(longest)), "").alias("_rest"))
-        found = places if found is None else found.unionByName(places)
-    if found is None:
-        return rows.select(key, F.lit(None).cast(listed.schema["position"].dataType).alias("position"),
-                           F.lit(None).cast("string").alias("pattern")).where("false")
-    met = found.join(listed, ["anchor", "size"]).where(F.col("_rest").startswith(F.col("pattern")))
+    spelled = folded.where("_text != ''").select("_key", characters(F.col("_text")).alias("_letters"), words.alias("_words"))
+    # All places of all sizes, those that pass the filter, and what stands there: one pass over a text.
+    places = f"""transform(filter(
+        flatten(transform(array({', '.join(map(str, sizes)) or 'int(NULL)'}), s -> transform(
+            IF(s <= size(_letters), sequence(1, size(_letters) - s + 1), cast(array() AS array<int>)),
+            i -> struct(s AS size, i AS at, xxhash64(slice(_letters, i, s)) AS anchor)))),
+        x -> {_met('_words', 'x.anchor', filter_bits)}),
+        x -> struct(x.anchor AS anchor, x.size AS size, array_join(slice(_letters, x.at, {longest}), '') AS rest))"""
+    found = spelled.select("_key", F.expr(f"inline({places})"))
+    met = found.join(listed, ["anchor", "size"]).where(F.col("rest").startswith(F.col("pattern")))
     return met.groupBy("_key").agg(F.min(F.struct("position", "pattern")).alias("_first")).select(
         F.col("_key").alias(key), "_first.position", "_first.pattern")
 
