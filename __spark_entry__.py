@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: E402
 
 import oracle  # noqa: E402
-from sparkcomments import adapters as A  # noqa: E402
+from sparkcomments import adapters as A, schemas  # noqa: E402
 from sparkcomments.functions import inputs, normalize, rules, scoring, urls  # noqa: E402
 from sparkcomments.functions.patterns import java  # noqa: E402
 from sparkcomments.operators import aggregates, filters, listed, ordering  # noqa: E402
@@ -311,7 +311,7 @@ def saved_csv(spark, sf_dir):
 
 def _pages(spark, sf_dir) -> DataFrame:
     """The comments as API answers: one page per stretch of 100 positions of a video."""
-    rows = A.comments(spark, sf_dir, _spread(spark))
+    rows = A.comments(spark, sf_dir)
     snippet = F.struct(
         c("author_name").alias("authorDisplayName"), F.struct(c("author_channel_id").alias("value")).alias("authorChannelId"),
         c("text").alias("textDisplay"), c("published_at").alias("publishedAt"), c("like_count").alias("likeCount"))
@@ -326,14 +326,21 @@ def _pages(spark, sf_dir) -> DataFrame:
     return pages.select("video_id", "page_no", items.alias("items"))
 
 
-def _landed_pages(spark, sf_dir, times=1) -> str:
-    """A folder with all pages, landed once or more."""
-    path = workspace(spark).path("pages")
-    for _ in range(times):
-        _pages(spark, sf_dir).write.mode("append").json(path)
+def _land(pages: DataFrame, path: str) -> str:
+    pages.write.mode("append").json(path, compression="gzip")
     return path
 
 
+def _landed_pages(spark, sf_dir) -> str:
+    """A folder with all pages."""
+    return _land(_pages(spark, sf_dir), workspace(spark).path("pages"))
+
+
+def _land_again(spark, landed: str, path: str, which=F.lit(True)) -> str:
+    """Those pages of a folder land in another, as they are."""
+    return _land(spark.read.schema(schemas.COMMENT_PAGE).json(landed).where(which), path)
+
+
 def filter_spam_fractions(spark, sf_dir):
     rows = A.comments(spark, sf_dir, _spread(spark)).withColumns(
         {"like_count": c("like_count") + F.lit(0.5), "is_spam": F.lit("mine")})
@@ -375,7 +382,10 @@ def stream_scores(spark, sf_dir):
 
 def stream_deduplicated(spark, sf_dir):
     """A folder whose pages landed twice, read as a stream: each page counts once."""
-    pages, folder = _landed_pages(spark, sf_dir, times=2), workspace(spark).path("stream")
+    landed, folder = _landed_pages(spark, sf_dir), workspace(spark).path("stream")
+    pages = workspace(spark).path("twice")
+    for _ in range(2):
+        _land_again(spark, landed, pages)
     rows = sources.stream_comment_pages(spark, pages)
     streaming.write_rows(rows, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/out").select(*plan.COMMENT_COLUMNS[:-1])
@@ -383,9 +393,10 @@ def stream_deduplicated(spark, sf_dir):
 
 def stream_capped(spark, sf_dir):
     """The first five kept comments of each video, over two landings: even pages, then all (so the odd ones are late)."""
-    pages, folder = workspace(spark).path("pages"), workspace(spark).path("stream")
+    landed = _landed_pages(spark, sf_dir)
+    pages, folder = workspace(spark).path("parts"), workspace(spark).path("stream")
     for landing in (c("page_no") % 2 == 0, F.lit(True)):
-        _pages(spark, sf_dir).where(landing).write.mode("append").json(pages)
+        _land_again(spark, landed, pages, landing)
         scored = streaming.score_pages(spark, pages)
         streaming.write_capped(scored, f"{folder}/out", f"{folder}/checkpoint", 5).awaitTermination()
     return streaming.read_scored(spark, f"{folder}/out").select("video_id", "arrival_pos", "is_spam")
