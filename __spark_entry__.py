@@ -336,7 +336,7 @@ def _landed_pages(spark, sf_dir) -> str:
     return _land(_pages(spark, sf_dir), workspace(spark).path("pages"))
 
 
-def _land_again(spark, landed: str, path: str, which=F.lit(True)) -> str:
+def _land_again(spark, landed: str, path: str, which: str = "true") -> str:
     """Those pages of a folder land in another, as they are."""
     return _land(spark.read.schema(schemas.COMMENT_PAGE).json(landed).where(which), path)
 
@@ -395,7 +395,7 @@ def stream_capped(spark, sf_dir):
     """The first five kept comments of each video, over two landings: even pages, then all (so the odd ones are late)."""
     landed = _landed_pages(spark, sf_dir)
     pages, folder = workspace(spark).path("parts"), workspace(spark).path("stream")
-    for landing in (c("page_no") % 2 == 0, F.lit(True)):
+    for landing in ("page_no % 2 = 0", "true"):
         _land_again(spark, landed, pages, landing)
         scored = streaming.score_pages(spark, pages)
         streaming.write_capped(scored, f"{folder}/out", f"{folder}/checkpoint", 5).awaitTermination()
