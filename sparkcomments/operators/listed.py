@@ -2,14 +2,14 @@
 
 A pattern's anchor is its first characters, ANCHOR of them or all if it has
 fewer.  A text contains a pattern only where its anchor stands, so the anchors
-of texts and patterns meet in an equi-join of hashes, and what follows an anchor
-in the text is held against the whole pattern.  The list is a table of any size;
+of texts and patterns meet in an equi-join, and what follows an anchor in the
+text is held against the whole pattern.  The list is a table of any size;
 it is neither collected nor broadcast by hint.
 
 Most places of a text start no anchor.  They are left out where the text is read,
 by a Bloom filter over the list's anchors: a fixed number of bits, which is all
 that tasks are given of the list.  A fuller filter lets more places through; the
-result is the same.  Of the places that pass, the key, the hash and as many
+result is the same.  Of the places that pass, the key, the anchor and as many
 characters as the longest pattern has are shuffled; whole texts are not.
 """
 
@@ -25,12 +25,12 @@ FILTER_BITS = 20  # the filter has two to this power
 
 
 def pattern_table(patterns: DataFrame, order: str = "position", pattern: str = "pattern") -> DataFrame:
-    """``position, pattern, anchor, size``: trimmed, folded, filled patterns; equal ones keep their first position."""
+    """``position, pattern, start, anchor, size``: trimmed, folded, filled patterns; equal ones keep their first position."""
     bare = N.fold_case(N.strip(F.col(f"`{pattern}`")))
     listed = patterns.select(bare.alias("pattern"), F.col(f"`{order}`").alias("position")).where("pattern != ''")
     listed = listed.groupBy("pattern").agg(F.min("position").alias("position"))
     letters = characters(F.substring("pattern", 1, ANCHOR))
-    return listed.select("position", "pattern", F.xxhash64(letters).alias("anchor"), F.size(letters).alias("size"))
+    return listed.select("position", "pattern", F.substring("pattern", 1, ANCHOR).alias("start"), F.xxhash64(letters).alias("anchor"), F.size(letters).alias("size"))
 
 
 def characters(text: Column) -> Column:
@@ -71,15 +71,22 @@ def first_listed(
     words = staged(anchor_filter(listed, filter_bits), "anchors").scalar()
     folded = rows.select(F.col(f"`{key}`").alias("_key"), N.fold_case(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("_text"))
     spelled = folded.where("_text != ''").select("_key", characters(F.col("_text")).alias("_letters"), words.alias("_words"))
-    # All places of all sizes, those that pass the filter, and what stands there: one pass over a text.
-    places = f"""transform(filter(
-        flatten(transform(array({', '.join(map(str, sizes)) or 'int(NULL)'}), s -> transform(
+    # One pass over a text: the places that pass the filter, and what stands there. A pattern that is all anchor needs no
+    # more than that, once for a text.
+    def passing(sizes):
+        return f"""filter(flatten(transform(cast(array({', '.join(map(str, sizes))}) AS array<int>), s -> transform(
             IF(s <= size(_letters), sequence(1, size(_letters) - s + 1), cast(array() AS array<int>)),
             i -> struct(s AS size, i AS at, xxhash64(slice(_letters, i, s)) AS anchor)))),
-        x -> {_met('_words', 'x.anchor', filter_bits)}),
-        x -> struct(x.anchor AS anchor, x.size AS size, array_join(slice(_letters, x.at, {longest}), '') AS rest))"""
+            x -> {_met('_words', 'x.anchor', filter_bits)})"""
+
+    spelled_out = "array_join(slice(_letters, x.at, {0}), '')".format
+    places = f"""concat(
+        transform(array_distinct(transform({passing([n for n in sizes if n < ANCHOR])}, x -> {spelled_out('x.size')})),
+            start -> struct(start AS start, start AS rest)),
+        transform({passing([n for n in sizes if n == ANCHOR])},
+            x -> struct({spelled_out(ANCHOR)} AS start, {spelled_out(longest)} AS rest)))"""
     found = spelled.select("_key", F.expr(f"inline({places})"))
-    met = found.join(listed, ["anchor", "size"]).where(F.col("rest").startswith(F.col("pattern")))
+    met = found.join(listed, "start").where(F.col("rest").startswith(F.col("pattern")))
     return met.groupBy("_key").agg(F.min(F.struct("position", "pattern")).alias("_first")).select(
         F.col("_key").alias(key), "_first.position", "_first.pattern")
 
