@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from .prefilter import Prefilter, prefilter
+from .prefilter import prefilter
 
 NORM = "norm"      # normalised text
 RAW = "raw"        # text as posted
@@ -18,24 +18,18 @@ AUTHOR = "author"  # display name as posted
 
 
 class _Pattern:
-    """What a text must hold for the pattern to be tried; it only saves work."""
+    """A rule's pattern, and what a text must hold for it to be tried.
 
-    @property
-    def prefilter(self) -> Prefilter:
-        # Starts are looked for in the normalised text, in lower case.
-        return prefilter(self.pattern, self.source == NORM and self.ignore_case)
-
-    @property
-    def starts(self) -> tuple[str, ...]:
-        return self.prefilter.starts
-
-    @property
-    def hints(self) -> tuple[str, ...]:
-        return self.prefilter.hints
+    ``starts``, ``hints`` and ``probe`` only save work; where they are not given,
+    they are derived from the pattern (see ``prefilter``).
+    """
 
-    @property
-    def probe(self) -> str | None:
-        return self.prefilter.probe
+    def __post_init__(self) -> None:
+        # Starts are looked for in the normalised text, in lower case.
+        derived = prefilter(self.pattern, self.source == NORM and self.ignore_case)
+        for name in ("starts", "hints", "probe"):
+            if getattr(self, name) is None:
+                object.__setattr__(self, name, getattr(derived, name))
 
 
 @dataclass(frozen=True)
@@ -57,6 +51,9 @@ class Signal(_Pattern):
     pattern: str
     label: str | None = None
     ignore_case: bool = True
+    starts: tuple[str, ...] | None = None
+    hints: tuple[str, ...] | None = None
+    probe: str | None = None
     counted: tuple[float, float, float] | None = None
 
 
@@ -71,6 +68,9 @@ class Legitimacy(_Pattern):
     pattern: str
     label: str | None = None
     ignore_case: bool = True
+    starts: tuple[str, ...] | None = None
+    hints: tuple[str, ...] | None = None
+    probe: str | None = None
 
 
 # --------------------------------------------------------------------------
