@@ -1,14 +1,20 @@
 """Quality rules: risk-controlled thresholds.
 
-Every rule rejects texts on one side of a cutoff of one measure. Cutoffs are selected on labelled holdouts, apart for
-each stratum: a cutoff is safe if the exact (Clopper-Pearson) upper bound on the share of good texts that it rejects is
-at most the rule's share of the allowed risk. The bounds hold together with probability 1 - delta: delta is divided by
-the number of bounds looked at (rules x cutoffs x strata, Bonferroni), and the risk by the number of rules, so that all
-rules of a stratum together reject at most that share of its good texts. Of the safe cutoffs the strictest is taken; if
-none is safe, the rule does not apply there.
+Every rule rejects texts on one side of a cutoff of one measure. Labelled texts are dealt to two holdouts by a hash of
+their key, and cutoffs are selected apart for each stratum:
 
-Everything is SQL functions over single rows, but for the counts of labelled rows by rule and cutoff, which are summed
-before they are shuffled. Measures are computed once and staged without the texts.
+1. The first holdout puts the steps (a rule and one of its cutoffs) in order: first the one that rejects the greatest
+   share of bad texts for its share of good ones. Steps that reject no larger share of bad texts than of good are left out.
+2. The second holdout tests the steps in that order, each together with all before it: whether the exact
+   (Clopper-Pearson) upper bound on the share of good texts that these steps reject jointly is at most the risk.
+
+Testing ends at the first step that fails (a fixed sequence, which spends no further share of delta; the order does not
+depend on the texts that test it), and delta is divided by the number of strata (Bonferroni). So with probability
+1 - delta, in no stratum do all rules together reject more than the risk of its good texts. With nothing good rejected a
+stratum needs log(delta / strata) / log(1 - risk) good texts to have any cutoff.
+
+Everything is SQL functions over single rows, but for the counts of labelled rows by step, which are summed before they
+are shuffled. Measures are computed once and staged without the texts.
 
 Null texts have no words. Texts with fewer than twenty words, or with over 30 % repeated ones, fail without a cutoff. A
 null stratum is a stratum. A document with several labels is good if all of them say so; repeated rows are judged each.
@@ -20,7 +26,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import staged, table
+from .common import remainder, staged, table
 
 #: White space as in the contract: a word is a run of anything else.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -118,22 +124,45 @@ def safe_cutoff(x: Column, n: Column, tests: Column, risk: float, delta: float)
     return below & (tail <= F.log(F.lit(delta) / tests))
 
 
+STEPS = [(rule, c) for rule, values in CUTOFFS.items() for c in values]
+
+
+def labelled(measured: DataFrame, labels: DataFrame, key: str, stratum: str, label: str) -> DataFrame:
+    """The labelled rows that pass the base rules: s, the stratum, good, first (of which holdout) and the measures."""
+    known = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.min(label).alias("__good"))
+    return (measured.where("NOT base_failed").join(known, F.col(key) == F.col("__k"))
+            .select(F.col(stratum).alias("s"), (F.col("__good") == 1).alias("good"), (remainder(F.col(key), 2) == 0).alias("first"), *CUTOFFS))
+
+
+def order(rows: DataFrame) -> DataFrame:
+    """A row for each stratum: steps, those that tell bad texts from good in the first holdout, best first."""
+    at = [(F.col(r) >= c) for r, c in STEPS]
+    counts = rows.where("first").groupBy("s").agg(
+        F.count_if("good").alias("n1"), F.count_if(~F.col("good")).alias("n0"),
+        F.array(*[F.struct(F.count_if(F.col("good") & x).alias("x1"), F.count_if(~F.col("good") & x).alias("x0")) for x in at]).alias("x"))
+    steps = F.transform(F.col("x"), lambda x, i: F.struct(
+        (-(x.x0 / F.col("n0")) / ((x.x1 + 1) / (F.col("n1") + 1))).alias("worth"), i.alias("i")))
+    kept = F.array_sort(F.filter(steps, lambda x: x.worth < -1))
+    known = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff")) for r, c in STEPS])
+    return counts.where("n0 > 0").select("s", F.transform(kept, lambda x: F.get(known, x.i)).alias("steps"))
+
+
 def cutoffs(measured: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "lang", label: str = "quality", *,
             risk: float = 0.02, delta: float = 0.05) -> DataFrame:
     """A row for each stratum: a map from rule to its cutoff, for the rules that apply there."""
-    rules = [(rule, c) for rule, values in CUTOFFS.items() for c in values]
-    known = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.min(label).alias("__good"))
-    good = (measured.where("NOT base_failed").join(known, F.col(key) == F.col("__k")).where("__good = 1")
-            .groupBy(F.col(stratum).alias("s")).agg(
-                F.count("*").alias("n"), *[F.sum((F.col(r) >= c).cast("long")).alias(f"c{i}") for i, (r, c) in enumerate(rules)]))
-    many = F.count("*").over(_everything()) * len(rules)
-    tests = (good.withColumn("tests", many)
-             .select("s", "n", "tests", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"c{i}").alias("x"))
-                                                            for i, (r, c) in enumerate(rules)])).alias("t")).select("s", "n", "tests", "t.*"))
-    share = risk / len(CUTOFFS)
-    safe = tests.where(safe_cutoff(F.col("x"), F.col("n"), F.col("tests"), share, delta))
-    return safe.groupBy("s", "rule").agg(F.min("cutoff").alias("cutoff")).groupBy("s").agg(
-        F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))  # seven entries at most
+    rows = labelled(measured, labels, key, stratum, label)
+    steps = order(rows).withColumnRenamed("s", "__s")
+    value = F.create_map(*[x for r in CUTOFFS for x in (F.lit(r), F.col(r))])
+    hit = F.transform(F.col("steps"), lambda t: F.col("value")[t.rule] >= t.cutoff)
+    tried = (rows.where("good AND NOT first").join(steps, F.col("s").eqNullSafe(F.col("__s"))).select("s", "steps", value.alias("value"))
+             .select("s", "steps", F.array_position(hit, True).alias("at"))
+             .groupBy("s").agg(F.first("steps").alias("steps"), F.count("*").alias("n"),
+                               F.array(*[F.count_if((F.col("at") > 0) & (F.col("at") <= k + 1)) for k in range(len(STEPS))]).alias("x")))
+    tests = tried.withColumn("strata", F.count("*").over(_everything())).select("s", "steps", "n", "strata", F.posexplode("x").alias("k", "x"))
+    # the rejected only grow with the steps, so the steps before the first failure are all that are safe
+    safe = tests.where((F.col("k") < F.size("steps")) & safe_cutoff(F.col("x"), F.col("n"), F.col("strata"), risk, delta))
+    return (safe.select("s", F.get("steps", F.col("k")).alias("t")).groupBy("s", F.col("t.rule").alias("rule")).agg(F.min("t.cutoff").alias("cutoff"))
+            .groupBy("s").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs")))  # seven entries at most
 
 
 def _everything():
