@@ -8,8 +8,9 @@ meets in one run with a chance of 1 - exp(-1.1) if buckets are small after one s
 twelve runs it is missed with a chance of 2e-6 and 8e-3. Similar sets come in groups, and a class needs only one
 chain of links, so that classes lose less.
 
-Comparing in buckets uses sketches (one-permutation minima) and keeps a spanning star of each bucket's similar sets, not
-its pairs. The classes of these candidates are then joined exactly: within a candidate class, in pairs of parts of
+Comparing in buckets uses the sets themselves (32 bits of each shingle) where both have at most 64 shingles, else sketches
+(one-permutation minima), which must agree to five deviations below the threshold for their size; it keeps a spanning star
+of each bucket's similar sets, not its pairs. The classes of these candidates are then joined exactly: within a candidate class, in pairs of parts of
 bounded size, sets are intersected by a matrix product. It yields every link, counted by document, and spanning links
 for the final classes; no pair is written out. So the number of links is exact within a class, however large.
 
@@ -32,8 +33,8 @@ from .common import ODD, mixed, staged, table, window_hashes, word_hashes
 SHINGLE, THRESHOLD = 5, 0.8
 RUNS, DEPTH = 12, 3
 SKETCH = 256
-#: Of the sketch, the share that must agree: five deviations below the threshold.
-SKETCH_LEAST = 0.66
+#: Sets of at most that many shingles are compared as they are.
+SMALL = 64
 SLICE = 1 << 14
 SEEDS = mixed(np.arange(1, RUNS + 1, dtype=np.uint64) * ODD)
 
@@ -83,8 +84,25 @@ def sketch(tokens: np.ndarray) -> bytes:
     return out[src].astype(np.uint8).tobytes()
 
 
+def _alike(both: np.ndarray, n, m) -> np.ndarray:
+    """Whether sets of n and m members that share both are at the threshold of 4 / 5, in whole numbers."""
+    return 5 * both >= 4 * (n + m - both)
+
+
+def _sketch_least(n):
+    """The share of a sketch that must agree for sets of at least n shingles: five deviations below the threshold. A small
+    set fills its places from a few values, some of which stand in many."""
+    return THRESHOLD - 5 * np.sqrt(THRESHOLD * (1 - THRESHOLD) * (1 / SKETCH + 2 / n))
+
+
+def _compared(tokens: np.ndarray) -> bytes:
+    """What buckets compare of a set: 32 bits of each shingle if it is small, its sketch if it can be alike a larger one."""
+    small = (tokens >> np.uint64(32)).astype(np.uint32).tobytes() if len(tokens) <= SMALL else b""
+    return small + (sketch(tokens) if 5 * len(tokens) > 4 * SMALL else b"")
+
+
 def _sets(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Key, a hash of the set in two parts, its size, sketch and paths."""
+    """Key, a hash of the set in two parts, its size, what buckets compare (sketch) and paths."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
@@ -95,7 +113,7 @@ def _sets(docs: DataFrame, key: str, text: str) -> DataFrame:
                 size.append(len(tokens))
                 h1.append(int(tokens.sum(dtype=np.uint64).view(np.int64)) if len(tokens) else None)
                 h2.append(int(np.bitwise_xor.reduce(mixed(tokens ^ ODD)).view(np.int64)) if len(tokens) else None)
-                sketches.append(sketch(tokens) if len(tokens) else None)
+                sketches.append(_compared(tokens) if len(tokens) else None)
                 found.append(paths(tokens).view(np.int64).ravel() if len(tokens) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("d"), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(size, pa.int64()), pa.array(sketches, pa.binary()),
@@ -136,24 +154,58 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
+def _small_pairs(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of small sets at the threshold, by the number of shared members."""
+    sizes = np.array([len(x) for x in sets])
+    _, token = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    mark = np.zeros(token.max() + 1, np.int64)
+    left, right = [], []
+    for k, (lo, hi) in enumerate(zip(starts[:-1], ends[:-1])):
+        mark[token[lo:hi]] = 1
+        j = np.flatnonzero(_alike(np.add.reduceat(mark[token[hi:]], starts[k + 1:] - hi), sizes[k], sizes[k + 1:]))
+        mark[token[lo:hi]] = 0
+        left.append(np.full(len(j), k))
+        right.append(j + k + 1)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _sketch_pairs(x: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of sketches that agree enough."""
+    left, right = [], []
+    m = len(x)
+    step = max(1, (1 << 22) // (m * SKETCH) + 1)
+    for k in range(0, m, step):
+        same = (x[k:k + step, None, :] == x[None, :, :]).sum(axis=2, dtype=np.int32)
+        i, j = np.nonzero(same >= SKETCH * _sketch_least(np.minimum(sizes[k:k + step, None], sizes[None, :])))
+        left.append(i + k)
+        right.append(j)
+    return np.concatenate(left), np.concatenate(right)
+
+
 def _bucket_links(batches):
-    """Spanning links of the similar sketches of each bucket part."""
-    for t in _groups(batches, ["g", "side", "rep", "sketch"]):
+    """Spanning links of the similar sets of each bucket part."""
+    for t in _groups(batches, ["g", "side", "rep", "sketch", "n"]):
         if t.num_rows < 2:
             continue
-        order = np.argsort(t.column("rep").to_numpy(), kind="stable")
-        reps, first = np.unique(t.column("rep").to_numpy()[order], return_index=True)
+        reps, first = np.unique(t.column("rep").to_numpy(), return_index=True)
         m = len(reps)
         if m < 2:
             continue
-        x = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)[order[first]]
-        left, right = [], []
-        step = max(1, (1 << 22) // (m * SKETCH) + 1)
-        for k in range(0, m, step):
-            same = (x[k:k + step, None, :] == x[None, :, :]).sum(axis=2, dtype=np.int32) >= SKETCH_LEAST * SKETCH
-            i, j = np.nonzero(same)
-            left.append(i + k)
-            right.append(j)
+        t = t.take(pa.array(first))
+        sizes, held = t.column("n").to_numpy(), t.column("sketch").to_pylist()
+        small, sketched = np.flatnonzero(sizes <= SMALL), np.flatnonzero(5 * sizes > 4 * SMALL)
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if len(small) > 1:
+            i, j = _small_pairs([np.frombuffer(held[k], np.uint32, sizes[k]) for k in small])
+            left.append(small[i])
+            right.append(small[j])
+        if len(sketched) > 1 and sizes[sketched].max() > SMALL:
+            x = np.frombuffer(b"".join(held[k][-SKETCH:] for k in sketched), np.uint8).reshape(-1, SKETCH)
+            i, j = _sketch_pairs(x, sizes[sketched])
+            left.append(sketched[i])
+            right.append(sketched[j])
         root = _roots(m, np.concatenate(left), np.concatenate(right))
         at = np.flatnonzero(root != np.arange(m))
         if len(at):
@@ -192,6 +244,8 @@ def classes(edges: DataFrame, name: str) -> DataFrame:
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError("classes still change after 59 rounds")
     return edges.select(F.col("b").alias("rep"), F.col("a").alias("root"))
 
 
@@ -219,14 +273,14 @@ def _exact_links(batches):
         b = np.arange(m) if alone else np.flatnonzero(side == 0)
         if not len(a) or not len(b):
             continue
-        both = np.zeros((len(a), len(b)), np.float32)
+        both = np.zeros((len(a), len(b)), np.int32)
         width = max(64, min(4096, (1 << 24) // m))
         for k in range(0, int(token[-1]) + 1 if len(token) else 0, width):
             lo, hi = np.searchsorted(token, [k, k + width])
             x = np.zeros((m, width), np.float32)
             x[row[lo:hi], token[lo:hi] - k] = 1
-            both += x[a] @ x[b].T
-        i, j = np.nonzero(both >= np.float32(THRESHOLD) * (sizes[a][:, None] + sizes[b][None, :] - both) - 1e-3)
+            both += (x[a] @ x[b].T).astype(np.int32)
+        i, j = np.nonzero(_alike(both, sizes[a][:, None], sizes[b][None, :]))
         i, j = a[i], b[j]
         keep = i != j
         i, j = i[keep], j[keep]
@@ -265,8 +319,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", *, bucket_row
         buckets = small if buckets is None else buckets.unionByName(small)
         rest = met.where(F.col("m") > bucket_rows)
     parts = F.ceil(F.col("m") / bucket_rows).cast("int")
-    buckets = buckets.join(reps.select("rep", "sketch"), "rep")
-    rows = _in_parts(buckets, "bucket", parts, _part(parts), "rep", "sketch")
+    buckets = buckets.join(reps.select("rep", "sketch", "n"), "rep")
+    rows = _in_parts(buckets, "bucket", parts, _part(parts), "rep", "sketch", "n")
     found = _sorted_groups(rows.drop("alone"), _bucket_links, f"a {kind}, b {kind}")
     found = classes(found.where("a < b"), "near-found")
     members = found.unionByName(found.select(F.col("root").alias("rep"), "root").distinct())
@@ -289,12 +343,12 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of docs for each class of near duplicates: that with the least doc_id, of repeated rows one. Rows without
-    a doc_id stay."""
+    """One row of docs for each class of near duplicates: that with the least doc_id, of rows with one doc_id and
+    text one. Rows without a doc_id stay."""
     gone = join(docs).where("doc_id != class_id").select(F.col("doc_id").alias("__gone")).distinct()
     kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
     twice = staged(docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__twice")), "near-twice")
     if twice.isEmpty():
         return kept
     same = F.col("doc_id") == F.col("__twice")
-    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id"]))
+    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
