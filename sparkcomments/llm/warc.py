@@ -85,14 +85,24 @@ def write(rows: DataFrame, path: str, key: str, uri: str, date: str = "2024-01-0
      .option("lineSep", EMPTY.decode("ISO-8859-1")).option("maxRecordsPerFile", most_records).text(path))
 
 
+#: Bytes that a member's inflation is fed at a time.
+CHUNK = 1 << 16
+#: Where a member or an uncompressed record may begin.
+NEXT = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
+
+
 def _inflate(data: bytes, at: int) -> tuple[bytes, int] | None:
-    """The content of the member at that place and where it ends; None if it is damaged."""
-    z = zlib.decompressobj(31)
+    """The content of the member at that place and where it ends; None if it is damaged. Reads no further than the
+    chunk in which the member ends."""
+    z, out, view = zlib.decompressobj(31), [], memoryview(data)
     try:
-        out = z.decompress(memoryview(data)[at:])
+        for k in range(at, len(data), CHUNK):
+            out.append(z.decompress(view[k:k + CHUNK]))
+            if z.eof:
+                return b"".join(out), min(k + CHUNK, len(data)) - len(z.unused_data)
     except zlib.error:
-        return None
-    return (out, len(data) - len(z.unused_data)) if z.eof else None
+        pass
+    return None
 
 
 HEAD = re.compile(rb"WARC/1\.[01]\r\n((?:[^\r\n:]+:[^\r\n]*\r\n)*)\r\n")
@@ -157,8 +167,8 @@ def salvage(data: bytes):
         else:
             if gap is None:
                 gap, reason = at, why
-            nexts = [p for p in (data.find(MAGIC, at + 1), data.find(b"WARC/1.", at + 1)) if p >= 0]
-            at = min(nexts) if nexts else len(data)
+            m = NEXT.search(data, at + 1)
+            at = m.start() if m else len(data)
     if gap is not None:
         yield gap, len(data) - gap, reason, None
 
