@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -92,17 +93,28 @@ def blocks(page: str) -> list[Block]:
     """The flat text blocks of a page, in order."""
     out: list[Block] = []
     stack: list[tuple[str, str, bool]] = [("", "other", False)]  # element, kind, not shown
+    open_names, open_kinds = Counter(), Counter()  # of the stack, so that no step walks through it
     pieces: list[tuple[str, bool]] = []
     links = 0
     at, n = 0, len(page)
 
+    def push(name, kind, hidden):
+        stack.append((name, kind, hidden))
+        open_names[name] += 1
+        open_kinds[kind] += 1
+
+    def pop():
+        name, kind, _ = stack.pop()
+        open_names[name] -= 1
+        open_kinds[kind] -= 1
+
     def end():
         if pieces:
             text = SPACES.sub(" ", html.unescape("".join(t for t, _ in pieces))).strip()
             if text:
                 linked = sum(len(html.unescape(t).split()) for t, link in pieces if link)
                 words = len(text.split(" "))
-                out.append(Block(text, words, min(linked, words), stack[-1][1], any(k == "main" for _, k, _ in stack)))
+                out.append(Block(text, words, min(linked, words), stack[-1][1], open_kinds["main"] > 0))
             pieces.clear()
 
     for m in TAG.finditer(page):
@@ -124,15 +136,15 @@ def blocks(page: str) -> list[Block]:
             if name == "hr":
                 end()
             continue
-        if name in VOID or name in INLINE and closing and all(e != name for e, _, _ in stack):
+        if name in VOID or name in INLINE and closing and not open_names[name]:
             continue
         end()
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    links = 0
-                    break
+            if open_names[name]:
+                while stack[-1][0] != name:
+                    pop()
+                pop()
+                links = 0
             continue
         if name in RAW:  # what is inside is no markup
             close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
@@ -142,23 +154,23 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd", "tr", "td", "th"):
             if stack[-1][0] == name and not m[3] or stack[-1][0] == "p":
-                del stack[-1:]
+                pop()
             kind = _kind(name, m[3], stack[-1][1]) if m[3] else None
-            stack.append((name, kind or stack[-1][1], stack[-1][2] or bool(m[3] and HIDDEN.search(m[3]))))
+            push(name, kind or stack[-1][1], stack[-1][2] or bool(m[3] and HIDDEN.search(m[3])))
             continue
         if name in ("article", "main", "body"):  # ends what was left open
             while len(stack) > 1 and stack[-1][1] not in ("other", "main"):
                 if stack[-1][1] == "comments" and name == "article":
                     break
-                del stack[-1]
+                pop()
             links = 0
-            if name == "body":
-                stack[1:] = []
+            while name == "body" and len(stack) > 1:
+                pop()
         inside = stack[-1][1]
         kind = _kind(name, m[3], inside)
         if kind == "main" and inside not in ("other", "main"):
             kind = None
-        stack.append((name, kind or inside, stack[-1][2] or name in SILENT or bool(m[3] and HIDDEN.search(m[3]))))
+        push(name, kind or inside, stack[-1][2] or name in SILENT or bool(m[3] and HIDDEN.search(m[3])))
     if at < n and not stack[-1][2]:
         rest = page[at:]
         pieces.append((rest if "<" not in rest or not re.search(r"<[a-zA-Z/!]", rest) else rest[:re.search(r"<[a-zA-Z/!]", rest).start()], links > 0))
