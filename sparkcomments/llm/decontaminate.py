@@ -7,8 +7,9 @@ alignment of an item with a document; alignments are verified once, word by word
 words of which at least 11 agree (items of 9 to 12 words: the whole item, with one word replaced at most).
 
 Everything is DataFrame functions. The benchmark's seeds are broadcast only if their number, counted first, is at most
-most_broadcast; else both sides are joined by a shuffle. Texts are not moved with the seeds: hits, which are few, are
-grouped by document and meet the documents once.
+most_broadcast; else both sides are joined by a shuffle. Texts are not moved with the seeds: hits are grouped by
+document, item and stretch of 64 alignments, so that no row grows with the hits of a document, and meet the documents in
+one join.
 
 Null and empty texts, and items of fewer than nine words, overlap with nothing. Repeated documents or items give the
 rows of one; rows without a doc_id or item_id take part under a null id.
@@ -24,6 +25,8 @@ from .common import table
 MASKS = ((0, 1, 4, 6, 7), (0, 3, 4, 5, 6), (0, 3, 5, 6, 7))
 SPAN, STEP = 8, 2
 WINDOW, EQUAL, LEAST = 13, 11, 9
+#: Alignments of an item with a document are verified in rows of 2 ** STRETCH neighbouring ones at most.
+STRETCH = 6
 
 
 def words(text: Column) -> Column:
@@ -52,7 +55,7 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
         marks = F.broadcast(marks)
     spots = seeds(d, "w", STEP)
     hits = (spots.join(marks, "h").groupBy("d", "k", "b", "n", (F.col("p") - F.col("ip")).alias("shift")).agg(F.lit(1).alias("one"))
-            .groupBy("d", "k").agg(F.collect_list(F.struct("b", "n", "shift")).alias("hits")))  # per document
+            .groupBy("d", "k", "b", F.shiftright("shift", STRETCH).alias("stretch")).agg(F.collect_list(F.struct("b", "n", "shift")).alias("hits")))
     same = docs.select(F.col(key).alias("d2"), F.xxhash64(text).alias("k2"), F.col(text).alias("t"))
     met = (same.join(hits, F.col("d2").eqNullSafe(F.col("d")) & (F.col("k2") == F.col("k")))
            .select("d", "k", "hits", words(F.col("t")).alias("w"))
