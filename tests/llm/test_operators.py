@@ -90,6 +90,57 @@ def test_quality(spark, docs, empty):
         assert r.safe == (tail <= 0.005)
 
 
+def quality_rows(n, seed):
+    """Texts by their measures: bad ones have many symbols or repeats, some good ones too; stratum "few" is too small."""
+    import random
+
+    rnd = random.Random(seed)
+    rows = []
+    for k in range(n):
+        good, s = rnd.random() < 0.7, rnd.choice(["a", "b", "a", None, "few" if k < 60 else "b"])
+        rows.append((k, s, False, rnd.betavariate(1, 150) if good or rnd.random() < 0.4 else rnd.uniform(0, 0.2), rnd.betavariate(1, 60) if good else rnd.betavariate(1, 8),
+                     rnd.random() * 0.1, rnd.random(), rnd.uniform(4, 9), rnd.uniform(0.1, 0.3), rnd.random(), int(good)))
+    return rows
+
+
+def test_quality_cutoffs(spark):
+    import zlib
+    from math import comb
+
+    names = list(quality.CUTOFFS)
+    rows = quality_rows(6000, 1)
+    frame = spark.createDataFrame(rows, "doc_id long, lang string, base_failed boolean, " + ", ".join(f"{r} double" for r in names) + ", quality int")
+    labels = frame.select("doc_id", "quality").unionByName(spark.createDataFrame([(None, 1), (1, None), (2, rows[2][-1])], "doc_id long, quality int"))
+    got = {r.s: r.cutoffs for r in quality.cutoffs(frame.drop("quality"), labels).collect()}
+    want = {}
+    strata = {r[1] for r in rows}
+    for s in strata:
+        first = [r for r in rows if r[1] == s and zlib.crc32(str(r[0]).encode()) % 2 == 0]
+        second = [r for r in rows if r[1] == s and zlib.crc32(str(r[0]).encode()) % 2 and r[-1]]
+        good, bad = [r for r in first if r[-1]], [r for r in first if not r[-1]]
+        steps = []
+        for i, (rule, c) in enumerate(quality.STEPS):
+            at = 3 + names.index(rule)
+            worth = -(sum(r[at] >= c for r in bad) / len(bad)) / ((sum(r[at] >= c for r in good) + 1) / (len(good) + 1))
+            steps += [(worth, i, rule, c, at)] if worth < -1 else []
+        steps.sort()
+        for k in range(len(steps)):
+            x = sum(any(r[at] >= c for _, _, _, c, at in steps[:k + 1]) for r in second)
+            n = len(second)
+            if x >= n * 0.02 or sum(comb(n, i) * 0.02 ** i * 0.98 ** (n - i) for i in range(x + 1)) > 0.05 / len(strata):
+                break
+            rule, c = steps[k][2:4]
+            want.setdefault(s, {})[rule] = min(c, want.get(s, {}).get(rule, c))
+    assert got == want and "few" not in got and {"a", "b", None} <= set(got)
+    # fresh texts: in no stratum are more good ones rejected than the risk allows, and bad ones are rejected
+    fresh = spark.createDataFrame(quality_rows(40_000, 2), frame.schema)
+    judged = quality.judge(fresh, spark.createDataFrame(list(got.items()), "s string, cutoffs map<string,double>"))
+    shares = judged.where("lang IS NULL OR lang != 'few'").groupBy("lang", "quality").agg(F.avg((F.size("rejected_by") > 0).cast("int")).alias("share")).collect()
+    assert all(r.share <= 0.02 if r.quality else r.share > 0.3 for r in shares)
+    assert quality.cutoffs(frame.drop("quality"), labels.where("false")).count() == 0
+    assert judged.where("lang = 'few' AND size(rejected_by) > 0").count() == 0
+
+
 PAT = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
        "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
@@ -162,6 +213,31 @@ def test_near(spark, docs, empty):
     assert near.join(empty).count() == 0
 
 
+def test_near_recall(spark):
+    """Pairs exactly at the threshold: s shingles in all, s / 5 of them only in the longer text."""
+    rows = []
+    for s in (5, 10, 20, 50, 60, 70, 80, 100):
+        for k in range(1000):
+            w = [f"s{s}k{k}w{i}" for i in range(s + 4)]
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(w[:len(w) - s // 5]))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    out = {r.doc_id: r for r in near.join(frame).collect()}
+    for n in range(8):
+        pairs = [(out[k], out[k + 1]) for k in range(2000 * n, 2000 * n + 2000, 2)]
+        assert sum(a.class_id == b.class_id == a.doc_id and a.n_links == b.n_links == 1 for a, b in pairs) >= 990
+
+
+def test_near_small_pairs():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 12, rng.integers(1, 14))).astype(np.uint32) for _ in range(80)]
+    i, j = near._small_pairs(sets)
+    want = [(a, b) for a in range(80) for b in range(a + 1, 80)
+            if 5 * len(set(sets[a]) & set(sets[b])) >= 4 * len(set(sets[a]) | set(sets[b]))]
+    assert sorted(zip(i.tolist(), j.tolist())) == want
+
+
 def test_substrings(spark, docs, empty):
     rows = [r for r in docs.select("doc_id", "text").collect() if r.doc_id is not None]
     first: dict = {}
@@ -205,6 +281,59 @@ def test_salvage():
     assert list(warc.salvage(b"")) == []
 
 
+def _seconds(run, *sizes):
+    """The least of three times of run for inputs of each size."""
+    import time
+
+    out = []
+    for size in sizes:
+        took = []
+        for _ in range(3):
+            start = time.perf_counter()
+            run(size)
+            took.append(time.perf_counter() - start)
+        out.append(min(took))
+    return out
+
+
+def test_salvage_is_linear():
+    body = bytes(range(256)) * 16
+    one = gzip.compress(warc.record("response", "1", "u", body, hashlib.sha1(body).hexdigest(), None, "d"), mtime=0)
+    noise = warc.MAGIC + b"\x00\xff" * 40  # looks like a member, and is none
+
+    def read(n):
+        assert sum(x[3] is not None for x in warc.salvage(one * n)) == n
+        assert sum(x[1] for x in warc.salvage(noise * n)) == len(noise) * n
+
+    small, large = _seconds(read, 2000, 8000)
+    assert large < 8 * small  # four times the input; quadratic would be sixteen
+
+
+def test_salvage_members_across_chunks():
+    import random
+
+    body = random.Random(5).randbytes(3 * warc.CHUNK)
+    parts = [gzip.compress(warc.record("response", str(i), "u", body[i:], hashlib.sha1(body[i:]).hexdigest(), None, "d"), mtime=0) for i in range(3)]
+    assert [x[3][1] for x in warc.salvage(b"".join(parts))] == [body[i:] for i in range(3)]
+    assert [x[3][1] for x in warc.salvage(b"".join(parts)[:-1]) if x[3]] == [body, body[1:]]
+
+
+def test_deep_pages_are_linear():
+    def read(n):
+        assert len(html_text.blocks("<div>x" * n + "</span></section>" * n)) == n
+
+    small, large = _seconds(read, 4000, 16_000)
+    assert large < 8 * small
+
+
+def test_decontaminate_equal_words(spark):
+    """One text of equal words meets items of equal words at every place."""
+    texts = spark.createDataFrame([(1, "same " * 2000), (2, "other words " * 20)], "doc_id long, text string")
+    items = spark.createDataFrame([(k, "same " * (30 + k)) for k in range(8)], "item_id long, text string")
+    out = decontaminate.overlaps(texts, items).collect()
+    assert sorted((r.doc_id, r.item_id, r.start, r.matched) for r in out) == [(1, k, 0, 30 + k) for k in range(8)]
+
+
 def test_decontaminate(spark, docs, empty):
     item = " ".join(f"q{i}" for i in range(20))
     changed = item.split()
