@@ -2,17 +2,18 @@
 
 Training counts, over all labelled rows, the letter 3-grams and 4-grams of each language. An n-gram belongs to a
 language if it makes up at least least_share of that language's n-grams, and at least 1/spread of its share in the
-language where it is commonest. The n-grams go into a bit-sliced Bloom filter: one table of 64-bit words, bit L of a
-word standing for language L, so that a single probe answers for all languages at once. A text gets, for each language,
+language where it is commonest. The n-grams go into a bit-sliced Bloom filter: a table whose rows have a bit for each
+language (a 64-bit word for every 64 of them), so that a single probe answers for all languages at once. A text gets, for each language,
 the number of its n-grams that the filter holds, less the false positives that the filter's fill leads to expect;
 the greatest decides, the first in order of name at a tie.
 
-Size bound: at most 1 / least_share n-grams for a language and 64 languages, whatever the corpus holds; the filter has a
-fixed number of words. Training reads whole texts and all labelled rows.
+Size bound: at most 1 / least_share n-grams for a language, whatever the corpus holds; the filter has a fixed number of
+rows, with 2 MB by default for every 64 languages. Training reads whole texts and all labelled rows.
 
 Null texts and texts without a letter are 'und' with score 0. A text whose n-grams no language holds gets the language
-with the most training n-grams, score 0. Without a labelled row, all texts are 'und'. Texts are cut into pieces of
-a million characters to bound memory; the n-grams across such a cut are not counted.
+with the most training n-grams, score 0. Without a labelled row, all texts are 'und'. Texts are read in pieces of
+a million characters to bound memory; pieces overlap, so that every n-gram is counted once. Repeated rows are counted
+and judged each. Columns beside text and language are not looked at.
 """
 
 from __future__ import annotations
@@ -31,12 +32,12 @@ from .common import mixed, remainder, staged, table
 
 UNKNOWN = "und"
 PIECE = 1 << 20
-MOST_LANGUAGES = 64
 
 
 @dataclass
 class Filters:
-    """words: the table; fill: for each language the share of words with its bit set."""
+    """words: the table, a row for each place and a column for every 64 languages; fill: for each language the share of
+    rows with its bit set."""
 
     languages: list[str]
     words: np.ndarray
@@ -45,7 +46,8 @@ class Filters:
     commonest: int
 
     def masks(self, grams: np.ndarray) -> np.ndarray:
-        out, x = np.full(len(grams), np.uint64(2**64 - 1)), grams
+        """A row for each n-gram: bit L % 64 of column L // 64 for each language L that holds it."""
+        out, x = np.full((len(grams), self.words.shape[1]), np.uint64(2**64 - 1)), grams
         for _ in range(self.hashes):
             out &= self.words[(x >> np.uint64(11)) & np.uint64(len(self.words) - 1)]
             x = mixed(x + np.uint64(1))
@@ -58,31 +60,35 @@ def _letters() -> np.ndarray:
 
 
 def _pieces(texts):
-    """(numbers of the texts, code points with a space around every text) for runs of texts of some MB at most."""
-    points, owners, size = [], [], 0
+    """(numbers of the texts, code points, which of them are a piece's own) for runs of texts of some MB at most. Each
+    piece has a neighbour before and two behind, spaces at the ends of a text, so that its own n-grams lie inside it."""
+    parts, size = [], 0
     for k, text in enumerate(texts):
-        for a in range(0, len(text) if text else 0, PIECE):
-            x = np.frombuffer(text[a:a + PIECE].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-            x = np.concatenate([[32], np.where(_letters()[x], x, 32), [32]]).astype(np.uint32)
-            points.append(x)
-            owners.append(np.full(len(x), k, np.int32))
+        low = text.lower() if text else ""
+        for a in range(0, len(low), PIECE):
+            own = min(PIECE, len(low) - a)
+            around = (low[a - 1] if a else " ") + low[a:a + own + 2].ljust(own + 2)
+            x = np.frombuffer(around.encode("utf-32-le", "surrogatepass"), np.uint32)
+            inside = np.zeros(len(x), bool)
+            inside[1:own + 1] = True
+            parts.append((np.full(len(x), k, np.int32), np.where(_letters()[x], x, 32).astype(np.uint32), inside))
             size += len(x)
             if size >= PIECE:
-                yield np.concatenate(owners), np.concatenate(points)
-                points, owners, size = [], [], 0
-    if points:
-        yield np.concatenate(owners), np.concatenate(points)
+                yield tuple(map(np.concatenate, zip(*parts)))
+                parts, size = [], 0
+    if parts:
+        yield tuple(map(np.concatenate, zip(*parts)))
 
 
 def grams(texts):
     """(numbers of the texts, n-gram hashes). N-grams lie within a word and the spaces around it."""
-    for owner, x in _pieces(texts):
+    for owner, x, inside in _pieces(texts):
         letter = x != 32
         wide = x.astype(np.uint64)
         two = wide[:-1] + wide[1:] * np.uint64(1_000_003)
-        in3 = letter[1:-1]
+        in3 = letter[1:-1] & inside[1:-1]
         three = two[:-1][in3] * np.uint64(3) + (wide[2:] * np.uint64(10**12 + 39))[in3]
-        in4 = letter[1:-2] & letter[2:-1]
+        in4 = letter[1:-2] & letter[2:-1] & inside[1:-2]
         four = two[:-2][in4] + (two[2:] * np.uint64(10**15 + 37))[in4]
         yield np.concatenate([owner[1:-1][in3], owner[1:-2][in4]]), mixed(np.concatenate([three, four]))
 
@@ -108,23 +114,22 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", *, least_share:
               .where("l IS NOT NULL AND t IS NOT NULL")
               .mapInArrow(count, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n")))
     counts = staged(counts, "grams")
-    totals = {r.l: r.n for r in counts.groupBy("l").agg(F.sum("n").alias("n")).orderBy("l").limit(MOST_LANGUAGES + 1).collect()}
-    if len(totals) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    sizes = counts.groupBy("l").agg(F.sum("n").alias("total"))
+    totals = {r.l: r.total for r in sizes.collect()}  # a row for each language
     languages = sorted(totals)
-    table_ = np.zeros(words, np.uint64)
+    table_ = np.zeros((words, max(1, -(-len(languages) // 64))), np.uint64)
     if not languages:
         return Filters([], table_, np.zeros(0), hashes, 0)
-    least = F.coalesce(*[F.when(F.col("l") == k, F.lit(least_share * n)) for k, n in totals.items()])
-    kept = counts.where(F.col("n") >= least).toPandas()  # 1 / least_share rows for each language at most
-    share = kept.n / kept.l.map(totals)
+    kept = counts.join(sizes, "l").where(F.col("n") >= least_share * F.col("total")).toPandas()  # 1 / least_share rows for each language at most
+    share = kept.n / kept.total
     kept = kept[share >= share.groupby(kept.g).transform("max") / spread]
-    bits = np.uint64(1) << kept.l.map({k: i for i, k in enumerate(languages)}).to_numpy(np.uint64)
+    of = kept.l.map({k: i for i, k in enumerate(languages)}).to_numpy(np.int64)
+    bits = np.uint64(1) << (of % 64).astype(np.uint64)
     x = kept.g.to_numpy(np.int64).view(np.uint64)
     for _ in range(hashes):
-        np.bitwise_or.at(table_, (x >> np.uint64(11)) & np.uint64(words - 1), bits)
+        np.bitwise_or.at(table_, ((x >> np.uint64(11)) & np.uint64(words - 1), of // 64), bits)
         x = mixed(x + np.uint64(1))
-    fill = np.array([np.count_nonzero(table_ & (np.uint64(1) << np.uint64(i))) / words for i in range(len(languages))])
+    fill = np.array([np.count_nonzero(table_[:, i // 64] & (np.uint64(1) << np.uint64(i % 64))) / words for i in range(len(languages))])
     return Filters(languages, table_, fill, hashes, max(range(len(languages)), key=lambda i: totals[languages[i]]))
 
 
@@ -137,7 +142,7 @@ def score(filters: Filters, texts) -> pd.DataFrame:
         masks = filters.masks(gram)
         count += np.bincount(owner, minlength=n)
         for i in range(len(filters.languages)):
-            hits[:, i] += np.bincount(owner, (masks >> np.uint64(i)) & np.uint64(1), n)
+            hits[:, i] += np.bincount(owner, (masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1), n)
     chance = filters.fill ** filters.hashes if filters.languages else np.zeros(1)
     true = np.maximum(0, (hits - count[:, None] * chance) / (1 - np.minimum(chance, 0.999)))
     best = true.argmax(axis=1)
