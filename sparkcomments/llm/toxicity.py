@@ -9,8 +9,8 @@ texts among labelled ones with that reading, smoothed towards a weight of the gr
 The insults are learned: words, and stems that take any ending, that occur in toxic texts far more often than in others,
 counted by the contexts (word before, word after) their words stand in, so that copies of one text count once. Fitting
 reads at most fit_rows labelled texts of each label (those whose hashed id comes first), weighted to the shares of all
-labels; the grammar holds the stems that pass the test, most_terms at most. Scoring reads every whole text and needs
-no label.
+labels; the grammar holds every stem of theirs that passes the test. Scoring reads every whole text and needs no
+label.
 
 Null and empty texts have the reading 'none'. Without a labelled row, the fixed weights alone decide. An id with several
 labels is toxic if one of them says so; repeated rows are scored each.
@@ -200,7 +200,7 @@ def _terms(batches):
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", *,
-          fit_rows: int = 4_000, most_terms: int = 20_000, least_contexts: int = 5, least_share: float = 0.6, sure_share: float = 0.9) -> Model:
+          fit_rows: int = 4_000, least_contexts: int = 5, least_share: float = 0.6, sure_share: float = 0.9) -> Model:
     known = (labels.where(F.col(key).isNotNull() & F.col(label).isNotNull())
              .groupBy(F.col(key).alias("k")).agg(F.max(F.col(label).cast("int")).alias("toxic")))
     sizes = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -215,7 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
              .groupBy("w").agg(F.count("*").alias("n"), F.sum("toxic").alias("bad"))
              .select(F.explode(F.transform(F.sequence(F.lit(3), F.least(F.lit(10), F.length("w") + 1)), lambda k: F.concat("w", F.lit("$")).substr(F.lit(1), k))).alias("w"), "n", "bad")
              .groupBy("w").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-             .withColumn("low", lower).where((F.col("bad") >= least_contexts) & (F.col("low") >= least_share)).orderBy(F.desc("bad"), "w").limit(most_terms).collect())
+             .withColumn("low", lower).where((F.col("bad") >= least_contexts) & (F.col("low") >= least_share)).orderBy(F.desc("bad"), "w").collect())  # of 2 * fit_rows texts
     fixed = {*THREATS, *TARGETS, *NEGATIONS, *REPORTS}
     rows = {r.w: r for r in terms if r.w.rstrip("$") not in fixed}
     sure = {w for w, r in rows.items() if r.low >= sure_share}
