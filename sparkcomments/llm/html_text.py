@@ -5,6 +5,9 @@ of its words inside links), those of the blocks before and after it, and the kin
 sectioning element or, for elements without meaning of their own, what their class and id say. A decision tree over
 these numbers, fitted by Spark on the small labelled table below, keeps blocks or drops them.
 
+The tree is read by its features only: names of elements decide where a page has them, words, links and neighbours where
+it has none. Repeated rows are each extracted; blocks that tie in all features have one fate.
+
 Comments, scripts, styles and other elements that show no text give no blocks. Unclosed and misplaced tags are taken as
 browsers do: a closing tag closes what is open inside its element, or nothing; an article inside an unclosed menu
 ends the menu. Null and empty pages give the empty text. Nothing is cut; equal blocks are all kept.
@@ -189,7 +192,8 @@ def features(found: list[Block]) -> np.ndarray:
 
 
 LOREM = "The river rose in the night and the bridge was closed until the water had gone down again."
-#: The labelled table: pages in the common layouts; blocks whose text begins with KEEP are main text.
+#: The labelled table: pages in the common layouts; blocks whose text begins with KEEP are main text. In the second half
+#: no element says what it is: there only lengths, links and neighbours tell text from menus, teasers and small print.
 LABELLED = [
     """<html><head><title>x</title></head><body><nav><ul><li><a>Home</a></li><li><a>News today</a></li></ul></nav><div class=ad>Buy two
     and get one free.</div><article><h1>KEEP River floods</h1><p>KEEP {l} {l}</p><p>KEEP Yes.</p><p>KEEP <a>A link</a> {l}</p></article>
@@ -209,6 +213,19 @@ LABELLED = [
     <table><tr><td>KEEP one</td><td>KEEP two</td></tr></table><blockquote>KEEP {l}</blockquote><aside>{l}</aside></main><footer>Short</footer></body>""",
     """<body><header>{l} {l} {l}</header><article><p>KEEP <a>{l}</a></p><p>KEEP <a>One</a></p><ul><li>KEEP <a>a link in a list</a></li></ul></article><nav>{l} {l}
     </nav><div class="advert">{l} {l} {l}</div><div class="popup">{l} {l}</div><footer>{l} {l} {l}</footer></body>""",
+    """<body><div><a>Home</a> | <a>World</a> | <a>Sport</a></div><div><div>KEEP River rises again</div><div>KEEP {l} {l}</div><div>KEEP So it
+    goes.</div><div>KEEP {l} <a>some linked words</a> {l}</div></div><div><a>Older story about the bridge and the river in the valley</a></div>
+    <div><a>Newer story</a></div><div>River Press 1999</div></body>""",
+    """<table><tr><td><a>Start</a></td><td><a>News of the day</a></td><td><a>Weather</a></td></tr></table><table><tr><td>KEEP {l} {l} {l}</td></tr>
+    <tr><td>KEEP No.</td></tr><tr><td>KEEP {l}</td></tr></table><p>Read on</p><p><a>{l}</a></p><p><a>{l}</a></p><p><a>Top</a></p>""",
+    """<body><ul><li><a>One page</a></li><li><a>Another page</a></li><li><a>A third page of this site</a></li></ul><h1>KEEP Of rivers</h1>
+    <p>KEEP {l} <a>{l}</a> {l}</p><p>KEEP "Yes," they said.</p><p>KEEP "No."</p><p>KEEP {l} {l}</p><h3>Most read</h3><ul><li><a>{l}</a></li><li><a>Floods</a>
+    </li><li><a>A bridge that was closed</a></li></ul><p>Made by hand</p></body>""",
+    """<div><div><a>Log in</a> or <a>sign up now</a></div><div>Wednesday</div><div><a>All topics</a></div></div><div><span>KEEP The bridge</span></div>
+    <div>KEEP {l}</div><div>KEEP {l} {l}</div><div>KEEP {l} <a>bridge</a></div><div>KEEP It was over.</div><div>KEEP {l}</div><div><a>Share</a> <a>Print</a></div>
+    <div>More</div><div><a>{l}</a> by us</div><div><a>{l} {l}</a></div>""",
+    """<p>Valley</p><p><a>Home</a> <a>Press</a></p><h2>KEEP Water and stone in the valley</h2><p>KEEP {l} {l} {l} {l}</p><h3>KEEP Stone</h3><p>KEEP {l} {l}</p>
+    <ul><li>KEEP sand</li><li>KEEP lime</li></ul><p>KEEP {l} {l}</p><p><a>{l}</a></p><p>All rights kept</p><p><a>Imprint</a></p>""",
 ]
 
 
@@ -250,20 +267,32 @@ def train(spark: SparkSession, rows: np.ndarray | None = None, labels: np.ndarra
     if rows is None:
         rows, labels = labelled()
     data = spark.createDataFrame([(Vectors.dense(r), float(y)) for r, y in zip(rows.tolist(), labels.tolist())], ["features", "label"])
-    model = DecisionTreeClassifier(maxDepth=depth, seed=1).fit(data.coalesce(1))
+    return read_tree(DecisionTreeClassifier(maxDepth=depth, seed=1).fit(data.coalesce(1)).toDebugString)
+
+
+SPLIT = re.compile(r"If \(feature (\d+) <= (\S+)\)")
+
+
+def read_tree(described: str) -> Tree:
+    """The tree that Spark describes, a line for each branch and leaf, the left branch first."""
+    lines = iter([line.strip() for line in described.splitlines()[1:] if line.strip()])
     nodes: list[list] = []
 
-    def walk(node) -> int:
-        at = len(nodes)
-        nodes.append([-1, 0.0, 0, 0, node.prediction() == 1.0])
-        if node.subtreeDepth() > 0:
-            nodes[at][:2] = [node.split().featureIndex(), node.split().threshold()]
-            nodes[at][2], nodes[at][3] = walk(node.leftChild()), walk(node.rightChild())
+    def walk() -> int:
+        at, line = len(nodes), next(lines)
+        nodes.append([-1, 0.0, 0, 0, False])
+        split = SPLIT.fullmatch(line)
+        if split:
+            nodes[at][:2] = [int(split[1]), float(split[2])]
+            nodes[at][2] = walk()
+            next(lines)  # the same condition, reversed
+            nodes[at][3] = walk()
+        else:
+            nodes[at][4] = float(line.removeprefix("Predict:")) == 1.0
         return at
 
-    walk(model._java_obj.rootNode())
-    f, t, l, r, k = zip(*nodes)
-    return Tree(np.array(f), np.array(t), np.array(l), np.array(r), np.array(k))
+    walk()
+    return Tree(*map(np.array, zip(*nodes)))
 
 
 def main_text(tree: Tree, pages: list[str | None]) -> list[str]:
