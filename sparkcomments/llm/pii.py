@@ -4,22 +4,26 @@ Base. E-mail addresses, IP addresses, card numbers and phone numbers by pattern;
 dropped. The patterns are written so that Java matches what the contract's expressions match, in time linear in the
 text and without deep recursion.
 
-Bootstrap. Tokens with a digit or an at sign are instances; the words before and after them are lexical patterns. The
-base finds are the seeds: instances of their kind with score 1. In each round, a pattern's confidence for a kind is the
-score of its instances over their number (plus one), and an instance's score is the chance that at least one of its
-patterns is right. Patterns need seeds of three different values. Instances whose score passes least_score are
-identifiers of that kind, wherever they occur under such a pattern; in the next round they are seeds. Counts of the
-pattern-instance graph are over distinct values, summed before they are shuffled, so that a frequent value or
-a common pattern counts once and lies in no task alone.
+Bootstrap. Base finds, and tokens outside of them with a digit or an at sign, are instances; the one or two words before
+them, and the one or two after them, are lexical patterns. The base finds are the seeds: instances of their kind with
+score 1. In each round, a pattern's confidence for a kind is the score of its instances over their number (plus one). An
+instance's score is the chance that its best pattern before or its best one after is right. Patterns need seeds of three
+different values. Instances whose score passes least_score are identifiers of that kind, wherever they occur under such
+a pattern, and seeds of the next round. The rounds end when one finds no new instance; as none is given up again, they
+do end. Counts of the pattern-instance graph are over distinct values, summed before they are shuffled, so that a
+frequent value or a common pattern counts once and lies in no task alone.
 
 Everything is DataFrame functions. Texts are read once: base matches and instances with their contexts are staged, and
 all later steps work on these short rows. Offsets are code points, ends exclusive.
 
-Null and empty texts hold nothing. Repeated rows each have their spans. A null doc_id is kept.
+Null and empty texts hold nothing. Repeated rows each have their spans. A null doc_id is kept. Where two kinds tie for an
+instance, the first of KINDS has it. Other columns than key and text are not looked at.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import staged, table
@@ -66,14 +70,32 @@ def passes(kind: str, value: Column) -> Column:
 
 
 def _matches(text: Column, pattern: str, hint: str) -> Column:
-    """Structs of v, a match, and g, the text between the match before and it."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.when(text.rlike(hint), F.arrays_zip(found.alias("v"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("g")))
+    """Structs of v, a match, g and h, the text between the match before and it, and that between it and the next one."""
+    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    return F.when(text.rlike(hint), F.arrays_zip(found.alias("v"), F.slice(gaps, F.lit(1), F.size(found)).alias("g"), F.slice(gaps, F.lit(2), F.size(found)).alias("h")))
+
+
+def _words(gap: Column) -> Column:
+    return F.array_remove(F.split(F.lower(gap), r"\s+"), "")
+
+
+#: Context words of more characters are patterns by their hash, so that a pattern stays short.
+LONG_WORD = 64
+
+
+def _word(words: Column, at: Column) -> Column:
+    """The word at a place, # where there is none."""
+    w = F.get(words, at)
+    return F.when(w.isNull(), "#").when(F.length(w) > LONG_WORD, F.hex(F.xxhash64(w))).otherwise(w)
+
+
+CONTEXT = ("l1", "l2", "r1", "r2")
 
 
-def _words(gap: Column, from_end: bool) -> Column:
-    near = F.substring(gap, -60, 60) if from_end else F.substring(gap, 1, 60)
-    return F.array_remove(F.split(F.lower(near), r"\s+"), "")
+def _patterns() -> Column:
+    """The lexical patterns of a token: words before it (1, 2) and after it (3, 4). No words are no pattern."""
+    own = [("1", "l1", F.col("l1")), ("2", "l1", F.concat_ws(" ", "l2", "l1")), ("3", "r1", F.col("r1")), ("4", "r1", F.concat_ws(" ", "r1", "r2"))]
+    return F.explode(F.array_compact(F.array(*[F.when(F.col(near) != "#", F.concat(F.lit(f"{n} "), words)) for n, near, words in own])))
 
 
 def _read(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -88,11 +110,12 @@ def _read(df: DataFrame, key: str, text: str) -> DataFrame:
     base = [found(n, kind) for n, kind in enumerate(KINDS)]
 
     def token(m: Column, i: Column) -> Column:
-        left = _words(m.g, True)
-        return F.struct(i.alias("i"), F.length(m.g).alias("gap"), m.v.alias("v"),
-                        F.coalesce(F.get(left, F.size(left) - 1), F.lit("#")).alias("l1"), F.coalesce(F.get(left, F.size(left) - 2), F.lit("#")).alias("l2"))
+        left, right = _words(m.g), _words(m.h)
+        context = [_word(left, F.size(left) - 1), _word(left, F.size(left) - 2), _word(right, F.lit(0)), _word(right, F.lit(1))]
+        return F.struct(i.alias("i"), F.length(m.g).alias("gap"), m.v.alias("v"), *[w.alias(name) for w, name in zip(context, CONTEXT)])
 
-    tokens = F.coalesce(F.transform(_matches(F.col("t"), TOKEN, "[0-9@]"), token), F.array().cast("array<struct<i:int,gap:int,v:string,l1:string,l2:string>>"))
+    tokens = F.coalesce(F.transform(_matches(F.col("t"), TOKEN, "[0-9@]"), token),
+                        F.array().cast(f"array<struct<i:int,gap:int,v:string,{','.join(f'{c}:string' for c in CONTEXT)}>>"))
     return staged(df.select(F.col(key).alias("d"), F.xxhash64(text).alias("k"), t.alias("t"))
                   .select("d", "k", F.monotonically_increasing_id().alias("r"), F.concat(*base).alias("base"), tokens.alias("tokens")), "pii")
 
@@ -109,17 +132,23 @@ def _base_spans(read: DataFrame) -> DataFrame:
     return rows.where(good).select("r", "kind", "start", "end")
 
 
-def _free_tokens(read: DataFrame, base: DataFrame) -> DataFrame:
-    """Tokens with the kind of the base span that they overlap, null if there is none. Spans are met in order of place."""
+def _instances(read: DataFrame, base: DataFrame) -> DataFrame:
+    """Tokens that overlap no base span, and base spans, with their kind as seed: v is what their tokens hold, the words
+    before are those of the first token, the words after those of the last. Tokens meet spans in order of place."""
     tokens = _placed(read.select("r", F.explode("tokens").alias("m")).select("r", "m.*"), "r")
-    both = tokens.select("r", "start", "end", "v", "l1", "l2", F.lit(None).cast("int").alias("kind")).unionByName(
-        base.select("r", "start", "end", F.lit(None).cast("string").alias("v"), F.lit(None).cast("string").alias("l1"), F.lit(None).cast("string").alias("l2"), "kind"))
-    span = F.when(F.col("kind").isNotNull(), F.struct("end", "kind"))
-    before = Window.partitionBy("r").orderBy("start", F.col("kind").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = Window.partitionBy("r").orderBy("start", F.col("kind").isNull()).rowsBetween(1, Window.unboundedFollowing)
-    last, following = F.max(span).over(before), F.first(F.when(F.col("kind").isNotNull(), F.struct("start", "kind")), True).over(after)
-    found = both.withColumn("a", last).withColumn("b", following).where("v IS NOT NULL")
-    return found.withColumn("seed", F.when(F.col("a.end") > F.col("start"), F.col("a.kind")).when(F.col("b.start") < F.col("end"), F.col("b.kind"))).drop("a", "b", "kind")
+    both = tokens.select("r", "start", "end", "v", *CONTEXT, F.lit(None).cast("int").alias("kind")).unionByName(
+        base.select("r", "start", "end", *[F.lit(None).cast("string").alias(c) for c in ("v", *CONTEXT)], "kind"))
+    order = Window.partitionBy("r").orderBy("start", F.col("kind").isNull())
+    spans = F.when(F.col("kind").isNotNull(), F.struct("end", "start", "kind"))
+    last = F.max(spans).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    following = F.first(spans, True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    met = F.when(F.col("a.end") > F.col("start"), F.col("a")).when(F.col("b.start") < F.col("end"), F.col("b"))
+    met = both.withColumn("a", last).withColumn("b", following).where("v IS NOT NULL").withColumn("span", met).drop("a", "b", "kind")
+    seeds = (met.where("span IS NOT NULL").groupBy("r", F.col("span.start").alias("at"), F.col("span.kind").alias("seed"))
+             .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by(F.struct("l1", "l2"), "start").alias("l"), F.max_by(F.struct("r1", "r2"), "start").alias("n"),
+                  F.sort_array(F.collect_list(F.struct("start", "v"))).alias("vs"))  # the tokens of one span: 19 digits at most
+             .select("r", "start", "end", F.array_join("vs.v", " ").alias("v"), "l.*", "n.*", "seed"))
+    return met.where("span IS NULL").select("r", "start", "end", "v", *CONTEXT, F.lit(None).cast("int").alias("seed")).unionByName(seeds)
 
 
 def _plausible(kind: Column, value: Column) -> Column:
@@ -129,33 +158,35 @@ def _plausible(kind: Column, value: Column) -> Column:
             .when(kind == 2, n.between(12, 19)).otherwise(n.between(7, 15)))
 
 
-def find(df: DataFrame, key: str = "doc_id", text: str = "text", *, rounds: int = 2, least_score: float = 0.75,
-         least_seeds: int = 3) -> DataFrame:
+def find(df: DataFrame, key: str = "doc_id", text: str = "text", *, least_score: float = 0.75, least_seeds: int = 3) -> DataFrame:
     """A row for each row of df: d, its key, k, a hash of its text, and spans, an array of structs of kind (its place in
     KINDS), start, end and base (whether a base pattern found it), ordered by kind and start."""
     read = _read(df, key, text)
     base = _base_spans(read)
-    free = staged(_free_tokens(read, base)
+    free = staged(_instances(read, base)
                   .withColumn("lead", F.length(F.regexp_extract("v", r"^[^A-Za-z0-9+@]*", 0)))
                   .withColumn("core", F.regexp_replace("v", r"^[^A-Za-z0-9+@]+|[^A-Za-z0-9]+$", "")).where("core != ''"), "pii-tokens")
     # the graph: distinct pairs of pattern and value, with the kind of seeds
-    occurrences = free.select("core", "seed", F.explode(F.array(F.concat(F.lit("1 "), "l1"), F.concat_ws(" ", F.lit("2"), "l2", "l1"))).alias("p"))
-    edges = staged(occurrences.groupBy("p", F.col("core").alias("v")).agg(F.min("seed").alias("seed")), "pii-edges")
-    scores = edges.where("seed IS NOT NULL").groupBy("v").agg(F.min("seed").alias("kind")).withColumn("score", F.lit(1.0))
-    for n in range(rounds):
-        totals = edges.groupBy("p").agg(F.count("*").alias("n"))
+    edges = staged(free.select("core", "seed", _patterns().alias("p")).groupBy("p", F.col("core").alias("v")).agg(F.min("seed").alias("seed")), "pii-edges")
+    totals = staged(edges.groupBy("p").agg(F.count("*").alias("n")), "pii-totals")
+    scores = staged(edges.where("seed IS NOT NULL").groupBy("v").agg(F.min("seed").alias("kind")).withColumn("score", F.lit(1.0)), "pii-scores")
+    for n in count():
         confident = (edges.join(scores, "v").groupBy("p", "kind").agg(F.sum("score").alias("good"), F.count("*").alias("seeds"))
                      .where(F.col("seeds") >= least_seeds).join(totals, "p").select("p", "kind", (F.col("good") / (F.col("n") + 1)).alias("sure")))
         confident = staged(confident.where("sure >= 0.5"), f"pii-patterns-{n}")
+        before = F.substring("p", 1, 1).isin("1", "2")
+        best = [F.coalesce(F.max(F.when(side, F.col("sure"))), F.lit(0.0)) for side in (before, ~before)]
         found = (edges.where("seed IS NULL").join(confident, "p").where(_plausible(F.col("kind"), F.col("v")))
-                 .groupBy("v", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("sure"))))).alias("score"))
+                 .groupBy("v", "kind").agg((1 - (1 - best[0]) * (1 - best[1])).alias("score"))
                  .groupBy("v").agg(F.max_by(F.struct("kind", "score"), F.struct("score", -F.col("kind"))).alias("x"))
                  .select("v", "x.*").where(F.col("score") >= least_score))
-        seeds = edges.where("seed IS NOT NULL").groupBy("v").agg(F.min("seed").alias("kind")).withColumn("score", F.lit(1.0))
-        scores = staged(seeds.unionByName(found.join(seeds.select("v"), "v", "left_anti")), f"pii-scores-{n}")
+        found = staged(found.join(scores.select("v"), "v", "left_anti"), f"pii-found-{n}")
+        if found.isEmpty():
+            break
+        scores = staged(scores.unionByName(found), f"pii-scores-{n}")
     known = scores.where("score < 1").select(F.col("v").alias("core"), F.col("kind").alias("found"))
     new = (free.where("seed IS NULL").join(known, "core")
-           .select("r", F.explode(F.array(F.concat(F.lit("1 "), "l1"), F.concat_ws(" ", F.lit("2"), "l2", "l1"))).alias("p"), "start", "lead", "core", "found")
+           .select("r", _patterns().alias("p"), "start", "lead", "core", "found")
            .join(confident.select("p", F.col("kind").alias("found")), ["p", "found"], "left_semi")
            .select("r", F.col("found").alias("kind"), (F.col("start") + F.col("lead")).alias("start"), (F.col("start") + F.col("lead") + F.length("core")).alias("end")).distinct())
     spans = (base.withColumn("base", F.lit(True)).unionByName(new.withColumn("base", F.lit(False)))
