@@ -6,8 +6,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from sparkcomments.llm import html_text, language_id, toxicity
+from sparkcomments.llm import html_text, language_id, pii, toxicity
 
 WORDS = "stone water bridge river valley night market paper house winter garden letter road field morning harbour".split()
 
@@ -136,3 +137,37 @@ def test_html_empty_table_and_odd_rows(spark):
     out = html_text.extract(frame, tree)
     assert out.columns == ["page_id", "words", "text"] and out.count() == 3
     assert html_text.extract(frame.where("false"), tree).count() == 0
+
+
+def test_unseen_identifiers_are_discovered(spark):
+    """Identifiers that no base pattern matches, planted under contexts that lead to each other in three rounds, or whose
+    words before say nothing; numbers in other contexts are left alone."""
+    rnd = random.Random(17)
+    seed = [f"+1 (275) 555-{k:04d}" for k in range(40)]
+    first, second, third = ([f"0{k}.{a}55.{k:04d}" for k in range(n)] for a, n in ((1, 20), (2, 6), (3, 3)))
+    texts, planted = [], set()
+
+    def add(before, value, after, kind=None):
+        text = f"{sentence(rnd, 3, 9)} {before} {value} {after} {sentence(rnd, 3, 9)}"
+        if kind:
+            planted.add((len(texts), f"{kind}:{len(text.split(value)[0])}:{len(text.split(value)[0]) + len(value)}"))
+        texts.append(text)
+
+    long_word = "w" * 100
+    for v in seed + first:
+        add("my phone", v, "until noon", "phone" if v in first else None)
+    for v in first + second:
+        add(long_word + "a", v, "or fax", "phone")
+    for v in second + third:
+        add("dial now", v, "and ask", "phone")
+    for k in range(40):
+        add(f"{sentence(rnd, 1, 1)}{rnd.random():.9f}".translate(str.maketrans("0123456789.", "abcdefghijk")), f"person{k}@mail.com", "is their mailbox")
+    for k in range(5):
+        add(f"by{chr(97 + k)}", f"person{k}@intranet", "is their mailbox", "email")
+    for k in range(60):
+        add("order number", f"0{k}.77.{k:06d}", "was sent", None)
+        add(long_word + "b", f"{k:08d}", "pieces", None)
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(None, None), (999, "")], "doc_id long, text string")
+    out = pii.find(frame).select("d", pii.written(F.filter("spans", lambda s: ~s.base)).alias("learned")).collect()
+    found = {(r.d, x) for r in out for x in r.learned.split(",") if x}
+    assert found == planted and len(out) == len(texts) + 2
