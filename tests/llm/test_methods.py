@@ -3,12 +3,13 @@
 import collections
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkcomments.llm import html_text, language_id, pii, toxicity
+from sparkcomments.llm import decontaminate, html_text, language_id, near, pii, toxicity
 
 WORDS = "stone water bridge river valley night market paper house winter garden letter road field morning harbour".split()
 
@@ -171,3 +172,74 @@ def test_unseen_identifiers_are_discovered(spark):
     out = pii.find(frame).select("d", pii.written(F.filter("spans", lambda s: ~s.base)).alias("learned")).collect()
     found = {(r.d, x) for r in out for x in r.learned.split(",") if x}
     assert found == planted and len(out) == len(texts) + 2
+
+
+def plain_overlaps(texts, items):
+    """For each document and item the best alignment that passes, by trying all of them."""
+    out = {}
+    for (d, text), (i, item) in itertools.product(texts, items):
+        w, x = (re.findall(r"[^\W_]+", (t or "").lower()) for t in (text, item))
+        for shift in range(-len(x) + 1, len(w)) if len(x) >= 9 else ():
+            eq = [w[shift + k] == x[k] for k in range(max(0, -shift), min(len(x), len(w) - shift))]
+            if len(x) < 13:
+                ok = sum(eq) >= len(x) - 1
+            else:
+                ok = any(sum(eq[k:k + 13]) >= 11 for k in range(len(eq) - 12))
+            if ok and (sum(eq), -shift) > out.get((d, i), ((-1, 0),))[0]:
+                out[d, i] = (sum(eq), -shift), (max(shift, 0), sum(eq), sum(eq) / len(x))
+    return {k: v for k, (_, v) in out.items()}
+
+
+@pytest.mark.parametrize("most_broadcast", [1_000_000, 0])
+def test_overlaps_equal_brute_force(spark, most_broadcast):
+    rnd = random.Random(23)
+    many = [f"w{k}" for k in range(300)]
+    items = [(k, rnd.choices(many, k=rnd.choice([8, 9, 11, 12, 13, 14, 20, 45]))) for k in range(40)] + [(90, ["a", "b"] * 10), (91, [])]
+    docs = [(1000, None), (1001, ""), (1002, "a b " * 30), (1003, "a b a " * 20)]
+    for k in range(160):
+        item = list(rnd.choice(items[:40])[1])
+        for _ in range(rnd.randint(0, 3)):
+            item[rnd.randrange(len(item))] = "changed"
+        a = rnd.choice([0, 0, 0, rnd.randrange(4)])
+        docs.append((k, " ".join(rnd.choices(many, k=rnd.randint(1, 40)) + item[a:] + rnd.choices(many, k=rnd.randint(1, 40)))))
+    items = [(k, " ".join(x).title()) for k, x in items]
+    got = decontaminate.overlaps(spark.createDataFrame(docs + docs[:3], "doc_id long, text string").withColumn("extra", F.lit(1)),
+                                 spark.createDataFrame(items + items[:2], "item_id long, text string"), most_broadcast=most_broadcast).collect()
+    want = plain_overlaps(docs, items)
+    assert len(want) > 60 and {(r.doc_id, r.item_id): (r.start, r.matched, r.share) for r in got} == want and len(got) == len(want)
+
+
+def test_classes_and_links_equal_brute_force(spark):
+    """All pairs of texts, compared by their sets of five words."""
+    rnd = random.Random(29)
+    many = [f"w{k}" for k in range(2000)]
+    texts = []
+    for size in (5, 6, 9, 14, 25, 60, 150):
+        for _ in range(12):
+            base = rnd.choices(many, k=size)
+            for _ in range(rnd.randint(1, 6)):
+                copy = list(base)
+                for _ in range(rnd.choice([0, 0, 1, 1, 2])):
+                    at = rnd.choice([0, len(copy) - 1, rnd.randrange(len(copy))])
+                    copy[at] = rnd.choice(many)
+                texts.append(" ".join(copy))
+    rnd.shuffle(texts)
+    rows = list(enumerate(texts)) + [(5000, None), (5001, ""), (5002, "two words")]
+    sets = {k: frozenset(tuple(w[i:i + 5]) for i in range(len(w) - 4)) for k, t in rows for w in [(t or "").split()]}
+    kinds = {s for s in sets.values() if s}
+    linked_to = {s: [t for t in kinds if t != s and 5 * len(s & t) >= 4 * len(s | t)] for s in kinds}
+    root, members = {}, collections.defaultdict(list)
+    for k, s in sets.items():
+        members[s].append(k)
+    for s in sorted(kinds, key=lambda s: min(members[s])):
+        todo = [s] if s not in root else []
+        while todo:
+            t = todo.pop()
+            if t not in root:
+                root[t] = min(members[s])
+                todo += linked_to[t]
+    out = {r.doc_id: (r.class_id, r.n_links, r.n_copies)
+           for r in near.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {k: (root[s], len(linked_to[s]), len(members[s])) if s else (k, 0, 1) for k, s in sets.items()}
+    assert sum(n > 0 for _, n, _ in want.values()) > 60
+    assert {k: v for k, v in out.items() if v != want[k]} == {}
