@@ -119,7 +119,7 @@ def whitelist_blacklist(spark, sf_dir):
 def _listed_patterns(spark, sf_dir) -> DataFrame:
     """User lists that grow with the tables: a piece of each third document, and the phrases' own words."""
     place, size = 11 + c("doc_id") % 40, 3 + c("doc_id") % 23
-    pieces = A.table(spark, sf_dir, "documents", _spread(spark)).where(c("doc_id") % 3 == 0).select(
+    pieces = A.table(spark, sf_dir, "documents").where(c("doc_id") % 3 == 0).select(
         c("doc_id").alias("position"), F.substr(F.col("text"), place, size).alias("pattern"))
     typed = [(-1 - i, pattern) for i, pattern in enumerate(oracle.BLACKLIST + oracle.WHITELIST)]
     return pieces.unionByName(spark.createDataFrame(typed, "position long, pattern string"))

@@ -171,6 +171,12 @@ def fold_case(text: Column) -> Column:
     return F.translate(F.lower(plain), "ς", "σ")
 
 
+def fold_case_of_texts(text: Column) -> Column:
+    """:func:`fold_case` of long texts: gone through by character only where one of the special characters stands."""
+    special = "".join(map(chr, _PARTNERS)) + "Σς"
+    return F.when(text.rlike(f"[{special}]"), fold_case(text)).otherwise(F.lower(text))
+
+
 def folded(literal: str) -> str:
     """:func:`fold_case` of a constant."""
     return literal.translate(_PARTNERS).lower().replace("ς", "σ")

@@ -111,3 +111,45 @@ def test_rules_of_weight_zero_are_signals(spark):
     got = scoring.analyze(df, F.col("text"), signals=(*rules.SIGNALS, nothing), columns=("reason", "spam_score"), working=("n_signals",)).collect()
     assert [(r.n_signals, r.reason) for r in got] == [
         (1, "Own rule"), (0, "No spam signals detected"), (2, "Seed phrase / wallet scam pattern; Own rule")]
+
+
+@pytest.mark.parametrize("first, filter_bits", [(0, None), (9, 6), (1 << 16, None)])
+def test_first_listed_by_tasks_and_by_join(spark, first, filter_bits):
+    """The first of the list in the tasks, the others by join; patterns of many lengths that begin alike, texts in more than one slice."""
+    r = random.Random(8)
+    pick = lambda n: "".join(r.choices("aбÉ😀 Σ", [9, 2, 1, 1, 1, 1], k=n))
+    texts = [pick(r.randint(0, 80)) for _ in range(400)] + ["x" * 300_000 + pick(40), "ab" * 5000 + "c", None, ""]
+    patterns = [(k, pick(r.randint(4, 20))) for k in range(300)] + [(300 + k, "a" * k + "É") for k in range(1, 40)] + [(-5, "x" * 5000 + "aa"), (700, "bc")]
+    r.shuffle(patterns)
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    table = spark.createDataFrame(patterns, "position long, pattern string")
+    got = {x.id: (x.position, x.pattern) for x in listed.first_listed(rows, "id", "text", table, filter_bits=filter_bits, first=first).collect()}
+    assert got == {i: b for i, t in enumerate(texts) if (b := _brute(t, patterns))}
+
+
+def test_patterns_that_begin_alike_do_not_meet(spark, monkeypatch):
+    """What a text gives out are the patterns it contains, not its places times the patterns that begin as they do."""
+    kept = {}
+    monkeypatch.setattr(listed, "staged", lambda df, name, stage=listed.staged: kept.setdefault(name, stage(df, name)))
+    table = spark.createDataFrame([(k, f"all alike {k:04d}") for k in range(2000)], "position long, pattern string")
+    texts = [" ".join(f"all alike {(7 * i + 131 * k) % 4000:04d}" for k in range(20)) for i in range(200)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    contained = [[k for k in {(7 * i + 131 * j) % 4000 for j in range(20)} if k < 2000] for i in range(200)]
+    for first, most in ((1 << 16, 200), (0, 1.2 * sum(map(len, contained)))):
+        kept.clear()
+        got = {x.id: x.position for x in listed.first_listed(rows, "id", "text", table, first=first).collect()}
+        assert got == {i: min(c) for i, c in enumerate(contained) if c}
+        assert kept["pieces"].count() <= most
+
+
+def test_equal_hashes_are_told_apart(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(listed, "_mixed", lambda x: x & np.uint64(3))
+    r = random.Random(9)
+    word = lambda n: bytes(r.choices(b"abc", k=n))
+    patterns = list(dict.fromkeys(word(r.randint(2, 6)) for _ in range(60)))
+    texts = [word(r.randint(1, 12)) for _ in range(300)]
+    spelled = listed.Spelled(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts]))
+    found = listed.Head(patterns, 0).first(spelled, np.arange(len(spelled.data)))
+    assert found == {i: min(k for k, p in enumerate(patterns) if p in t) for i, t in enumerate(texts) if any(p in t for p in patterns)}
