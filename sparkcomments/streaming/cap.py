@@ -64,6 +64,22 @@ class FirstKept(StatefulProcessor):
         pass
 
 
+def before_cut(videos: pd.Series, positions: pd.Series, spam: pd.Series, limit: int) -> pd.Series:
+    """Which rows have fewer than ``limit`` kept ones before them in their video, among these rows."""
+    rows = pd.DataFrame({"video": videos, "at": positions, "kept": (~spam.astype(bool)).astype("int64")}).sort_values("at", kind="stable")
+    rows["before"] = rows.groupby("video", dropna=False)["kept"].cumsum() - rows["kept"]
+    least = rows.groupby(["video", "at"], dropna=False)["before"].transform("min")  # of rows at one place, none is before another
+    return (least < limit).reindex(videos.index)
+
+
+def _may_pass(limit: int):
+    @F.pandas_udf("boolean")
+    def may_pass(videos: pd.Series, positions: pd.Series, spam: pd.Series) -> pd.Series:
+        return before_cut(videos, positions, spam, limit)
+
+    return may_pass.asNondeterministic()  # the answer depends on the rows read together: it is asked for once, where it stands
+
+
 def capped(scored: DataFrame, limit: int, remembered: int | None = REMEMBERED) -> DataFrame:
     """The rows of a stream of scored comments that are read before the cap of their video is reached.
 
@@ -81,6 +97,9 @@ def capped(scored: DataFrame, limit: int, remembered: int | None = REMEMBERED) -
     more = [F.unix_millis(READ_AT).alias(READ_MS), F.col(READ_AT).alias("read_at")] if timed else []
     rows = scored.select(*(F.col(f"`{name}`").alias(short) for name, short in plain.items()), *more)
     schema = T.StructType([T.StructField(plain[f.name], f.dataType) for f in out.schema])
+    # Rows of a micro-batch that are beyond the cut among those read together need not go to their video's one task:
+    # what is before the cut of all rows is before it among any of them.
+    rows = rows.withColumn("may_pass", _may_pass(limit)(plain["video_id"], POSITION, SPAM)).where("may_pass").drop("may_pass")
     first = rows.groupBy(plain["video_id"]).transformWithStateInPandas(
         statefulProcessor=FirstKept(list(plain.values()), limit, remembered * 1000 if timed else None), outputStructType=schema,
         outputMode="Append", timeMode="EventTime" if timed else "None")

@@ -215,3 +215,30 @@ def test_workspaces_delete_what_they_hold(spark):
     assert not os.path.exists(outer.folder.removeprefix("file:"))
     outer.close()
     assert outer.folder.startswith(shared_folder(spark))
+
+
+def test_rows_beyond_the_cut_stay_where_they_are_read():
+
+
+    r = random.Random(4)
+    for n in (0, 1, 300):
+        rows = pd.DataFrame({"v": [r.choice(["a", "b", None]) for _ in range(n)], "at": [r.randint(0, 120) for _ in range(n)],
+                             "spam": [r.random() < 0.5 for _ in range(n)]}, index=range(5, 5 + n)).astype({"v": object})
+        got = cap.before_cut(rows["v"], rows["at"], rows["spam"].astype(bool), 5).tolist()
+        every = list(rows.itertuples(index=False))
+        assert got == [sum(y.v == x.v and y.at < x.at and not y.spam for y in every) < 5 for x in every]
+
+
+def test_a_large_video_does_not_go_to_one_task(spark, tmp_path):
+    """Of a video with 3,000 kept comments in one micro-batch, a few from each task reach the state; the rows are those of the plain cut."""
+    from pyspark.sql import functions as F
+
+    pages, cut = str(tmp_path / "pages"), 5
+    items = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.struct(F.struct(F.struct(F.struct(
+        F.concat(F.lit("hi "), i).alias("textDisplay")).alias("snippet")).alias("topLevelComment")).alias("snippet")))
+    spark.range(30, numPartitions=4).select(F.lit("v").alias("video_id"), F.col("id").alias("page_no"), items.alias("items")).write.json(pages)
+    query = streaming.write_capped(streaming.score_pages(spark, pages), str(tmp_path / "out"), str(tmp_path / "cp"), cut)
+    query.awaitTermination()
+    assert sorted(r.arrival_pos for r in streaming.read_scored(spark, str(tmp_path / "out")).collect()) == [0, 1, 2, 3, 4]
+    plan = query._jsq.explainInternal(False)
+    assert "may_pass" in plan and plan.index("TransformWithState") < plan.index("may_pass")
