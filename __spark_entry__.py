@@ -5,7 +5,9 @@ from __future__ import annotations
 import functools
 import os
 import sys
+import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -322,8 +324,16 @@ def _pages(spark, sf_dir) -> DataFrame:
     page_no = F.floor(c("arrival_pos") / sources.PAGE_SIZE)
     pages = rows.groupBy("video_id", page_no.alias("page_no")).agg(
         F.map_from_entries(F.collect_list(F.struct((c("arrival_pos") % sources.PAGE_SIZE).cast("int").alias("k"), item.alias("v")))).alias("m"))
-    items = F.transform(F.sequence(F.lit(0), F.lit(sources.PAGE_SIZE - 1)), lambda k: c("m")[k])
-    return pages.select("video_id", "page_no", items.alias("items"))
+    filled = pages.select("video_id", "page_no", F.sort_array(F.map_entries("m")).alias("filled"))
+    empty = F.get(F.transform("filled", lambda x: x["value"]), F.lit(-1))
+
+    def with_gap(x, i):
+        before = F.when(i == 0, -1).otherwise(F.get("filled", i - 1)["key"])
+        return F.concat(F.array_repeat(empty, x["key"] - before - 1), F.array(x["value"]))
+
+    after = F.array_repeat(empty, sources.PAGE_SIZE - 1 - F.element_at("filled", -1)["key"])
+    items = F.concat(F.flatten(F.transform("filled", with_gap)), after)
+    return filled.select("video_id", "page_no", items.alias("items"))
 
 
 def _land(pages: DataFrame, path: str) -> str:
@@ -337,8 +347,21 @@ def _landed_pages(spark, sf_dir) -> str:
 
 
 def _land_again(spark, landed: str, path: str, which: str = "true") -> str:
-    """Those pages of a folder land in another, as they are."""
-    return _land(spark.read.schema(schemas.COMMENT_PAGE).json(landed).where(which), path)
+    """Those pages of a folder land in another, as they are; all of them as copies of its files."""
+    if which != "true":
+        return _land(spark.read.schema(schemas.COMMENT_PAGE).json(landed).where(which), path)
+    hadoop, conf, landing = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration(), uuid.uuid4().hex
+    files = hadoop.Path(landed).getFileSystem(conf)
+
+    def copy(source):
+        name = source.getName()
+        if not name.startswith(("_", ".")) and not hadoop.FileUtil.copy(files, source, files, hadoop.Path(path, f"{landing}-{name}"), False, conf):
+            raise OSError(f"{source} was not copied")
+
+    files.mkdirs(hadoop.Path(path))
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(copy, [status.getPath() for status in files.listStatus(hadoop.Path(landed))]))
+    return path
 
 
 def filter_spam_fractions(spark, sf_dir):
@@ -397,7 +420,7 @@ def stream_capped(spark, sf_dir):
     pages, folder = workspace(spark).path("parts"), workspace(spark).path("stream")
     for landing in ("page_no % 2 = 0", "true"):
         _land_again(spark, landed, pages, landing)
-        scored = streaming.score_pages(spark, pages)
+        scored = streaming.score_pages(spark, pages, first=5)
         streaming.write_capped(scored, f"{folder}/out", f"{folder}/checkpoint", 5).awaitTermination()
     return streaming.read_scored(spark, f"{folder}/out").select("video_id", "arrival_pos", "is_spam")
 

@@ -2,29 +2,43 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Row, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..sources.pages import READ_AT, REMEMBERED
 
-# Frames reach the processor as named tuples, which take plain names only.
+# Columns reach the processor under plain names.
 POSITION, SPAM, READ_MS = "arrival_pos", "is_spam", "read_ms"
 
 
+def until_cut(positions: Sequence, spam: Sequence, left: int) -> list[int]:
+    """Which rows have fewer than ``left`` kept ones before them, in order of position; rows without one come last."""
+    out, kept = [], 0
+    for i in sorted(range(len(positions)), key=lambda i: ((at := positions[i]) is None or at != at, at)):
+        if kept >= left:
+            break
+        out.append(i)
+        kept += not spam[i]
+    return out
+
+
 class FirstKept(StatefulProcessor):
     """Lets the rows of a video through until ``limit`` of them were kept ones.
 
     Reading order is that of the micro-batches, and by ``arrival_pos`` within one.
     State is the number kept so far and when the video was last read.  Of a
     micro-batch, only rows that can still be before the cut are held: at most as
-    many kept ones as the limit leaves, the spam between them, and one batch of
-    Arrow.
+    many kept ones as the limit leaves, the spam between them, and as many more
+    or ``HELD``.
     """
 
+    HELD = 1024
+
     def __init__(self, columns: list[str], limit: int, remembered_ms: int | None) -> None:
         self.columns, self.limit, self.remembered_ms = columns, limit, remembered_ms
 
@@ -32,31 +46,44 @@ class FirstKept(StatefulProcessor):
         self.handle = handle
         self.total = handle.getValueState("total", "kept long, expires long")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        before, expires = self.total.get() if self.total.exists() else (0, 0)
-        left, held, read_ms = self.limit - before, None, 0
-        for batch in rows:
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        before, expires = self.total.get() or (0, 0)
+        left, held, most, read_ms = self.limit - before, [], self.HELD, 0
+        for row in rows:
             if self.remembered_ms is not None:
-                read_ms = max(read_ms, int(batch[READ_MS].max()))
+                read_ms = max(read_ms, row[READ_MS])
             if left > 0:
-                held = self._until_cut(batch if held is None else pd.concat([held, batch]), left)
+                held.append(row)
+                if len(held) >= most:
+                    held = self._first(held, left)
+                    most = 2 * max(len(held), self.HELD)
+        held, was = self._first(held, left), (before, expires)
         if self.remembered_ms is not None:
-            if expires:
-                self.handle.deleteTimer(expires)
-            expires = read_ms + self.remembered_ms
-            self.handle.registerTimer(expires)
-        now = 0 if held is None else int((~held[SPAM].astype(bool)).sum())
-        self.total.update((before + now, expires))
-        if held is not None:
-            yield held[self.columns]
+            # Rounded up to a thirtieth of the span, so that a video read often does not move its timer each time.
+            step = max(1, self.remembered_ms // 30)
+            expires = -(-(read_ms + self.remembered_ms) // step) * step
+            if expires != was[1]:
+                if was[1]:
+                    self.handle.deleteTimer(was[1])
+                self.handle.registerTimer(expires)
+        now = before + sum(not row[SPAM] for row in held)
+        if (now, expires) != was:
+            self.total.update((now, expires))
+        if held:
+            out, places = Row(*self.columns), [held[0].__fields__.index(name) for name in self.columns]
+            for row in held:
+                yield out(*(row[i] for i in places))
+
+    @staticmethod
+    def _first(rows: list[Row], left: int) -> list[Row]:
+        return [rows[i] for i in until_cut([row[POSITION] for row in rows], [row[SPAM] for row in rows], left)]
 
     @staticmethod
     def _until_cut(rows: pd.DataFrame, left: int) -> pd.DataFrame:
-        rows = rows.sort_values(POSITION, kind="stable")
-        kept = ~rows[SPAM].astype(bool)
-        return rows[kept.cumsum() - kept < left]
+        """:func:`until_cut` of a frame."""
+        return rows.iloc[until_cut(rows[POSITION].tolist(), rows[SPAM].tolist(), left)]
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         self.total.clear()
         return iter(())
 
@@ -80,6 +107,104 @@ def _may_pass(limit: int):
     return may_pass.asNondeterministic()  # the answer depends on the rows read together: it is asked for once, where it stands
 
 
+#: Of a video, so many times the limit are scored before it is known whether the rest must be.
+LIKELY = 3
+#: Positions that a task remembers at most.
+NOTED = 2_000_000
+_LAST = np.iinfo(np.int64).max
+
+
+class Bounds:
+    """Of each video, the ``n``-th smallest position among the rows that a task has read up to now.
+
+    What is remembered is bounded: beyond that, videos of fewer rows are forgotten.
+    A video without a bound only means that nothing is known to come after it.
+    """
+
+    def __init__(self, n: int) -> None:
+        self.n, self.room = n, max(2, NOTED // n)
+        self.places: dict[Any, int] = {}
+        self.smallest = np.full((1, n), _LAST)  # the first line is that of videos not remembered: it stays empty
+
+    def beyond(self, videos: pd.Series, positions: pd.Series, counted: np.ndarray | None = None) -> np.ndarray:
+        """Which of these rows come after the ``n``-th of the ``counted`` rows of their video; rows at one place do not come after each other."""
+        codes, names = pd.factorize(videos, use_na_sentinel=False)
+        at, lines = positions.to_numpy(), self._lines(names, np.bincount(codes, minlength=len(names)))
+        counted = lines[codes] > 0 if counted is None else counted & (lines[codes] > 0)
+        self._note(lines[codes][counted], at[counted])
+        return at > self.smallest[lines, -1][codes]
+
+    def _lines(self, names: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        lines = np.array([self.places.get(name, 0) for name in names], dtype=np.int64)
+        new = np.flatnonzero(lines == 0)
+        if len(self.places) + len(new) > self.room:
+            full = {name: line for name, line in self.places.items() if self.smallest[line, -1] < _LAST}
+            full = full if len(full) <= self.room // 2 else {}
+            self.smallest = self.smallest[[0, *full.values()]]
+            self.places = {name: line for line, name in enumerate(full, 1)}
+            lines = np.array([self.places.get(name, 0) for name in names], dtype=np.int64)
+            new = np.flatnonzero(lines == 0)
+            new = new[np.argsort(-rows[new], kind="stable")][:self.room - len(self.places)]
+        first = len(self.places) + 1
+        lines[new] = np.arange(first, first + len(new))
+        self.places.update(zip(names[new], lines[new].tolist()))
+        short = first + len(new) - len(self.smallest)
+        if short > 0:
+            self.smallest = np.concatenate([self.smallest, np.full((max(short, len(self.smallest)), self.n), _LAST)])
+        return lines
+
+    def _note(self, lines: np.ndarray, at: np.ndarray) -> None:
+        near = at < self.smallest[lines, -1]
+        lines, at = lines[near], at[near]
+        order = np.lexsort((at, lines))
+        own, first, which = np.unique(lines[order], return_index=True, return_inverse=True)
+        rank = np.arange(len(order)) - first[which]
+        near = rank < self.n
+        more = np.full((len(own), self.n), _LAST)
+        more[which[near], rank[near]] = at[order][near]
+        self.smallest[own] = np.sort(np.concatenate([self.smallest[own], more], axis=1), axis=1)[:, :self.n]
+
+
+def _early(limit: int):
+    @F.pandas_udf("boolean")
+    def early(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        likely = Bounds(LIKELY * limit)
+        for videos, positions in rows:
+            yield pd.Series(~likely.beyond(videos, positions))
+
+    return early.asNondeterministic()
+
+
+def _open(limit: int):
+    @F.pandas_udf("boolean")
+    def still_open(rows: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        cut = Bounds(limit)
+        for videos, positions, scored, spam in rows:
+            kept = scored.to_numpy(dtype=bool) & ~spam.to_numpy(dtype=bool)
+            yield pd.Series(~cut.beyond(videos, positions, kept))
+
+    return still_open.asNondeterministic()
+
+
+def scored_to_cut(comments: DataFrame, limit: int, score: Callable[[DataFrame, str, str], DataFrame], verdict: Sequence[str]) -> DataFrame:
+    """``comments`` with the columns ``verdict``, but for those that come after ``limit`` kept ones of their video.
+
+    A comment is left out unscored only where so many kept ones stand before it
+    among those read in the same task, so the cap, which reads all of them in order,
+    comes to the same rows.  Of a video, the first of the rows read together are
+    scored; the rest is where these did not hold enough kept ones.
+    ``score(df, text_col, prefix)`` adds the columns ``verdict``, each with the prefix
+    before its name; rows whose text is null cost it next to nothing.
+    """
+    kept = [F.col(f"`{name}`") for name in comments.columns if name not in verdict]
+    at = "video_id", F.coalesce(POSITION, F.lit(2**63 - 1))  # what has no place comes last, as in the cap
+    rows = comments.select(*kept, _early(limit)(*at).alias("_early"))
+    rows = score(rows.withColumn("_read", F.when(F.col("_early"), F.col("text"))), "_read", "_first_")
+    rows = rows.withColumn("_open", _open(limit)(*at, "_early", "_first_" + SPAM)).where("_open")
+    rows = score(rows.withColumn("_read", F.when(~F.col("_early"), F.col("text"))), "_read", "_then_")
+    return rows.select(*kept, *(F.when(F.col("_early"), F.col(f"_first_{x}")).otherwise(F.col(f"_then_{x}")).alias(x) for x in verdict))
+
+
 def capped(scored: DataFrame, limit: int, remembered: int | None = REMEMBERED) -> DataFrame:
     """The rows of a stream of scored comments that are read before the cap of their video is reached.
 
@@ -94,13 +219,13 @@ def capped(scored: DataFrame, limit: int, remembered: int | None = REMEMBERED) -
     if not limit or limit < 0:
         return out
     plain = {name: name if name in (POSITION, SPAM) else f"c{i}" for i, name in enumerate(out.columns)}
-    more = [F.unix_millis(READ_AT).alias(READ_MS), F.col(READ_AT).alias("read_at")] if timed else []
+    more = [F.unix_millis(READ_AT).alias(READ_MS)] if timed else []
     rows = scored.select(*(F.col(f"`{name}`").alias(short) for name, short in plain.items()), *more)
     schema = T.StructType([T.StructField(plain[f.name], f.dataType) for f in out.schema])
     # Rows of a micro-batch that are beyond the cut among those read together need not go to their video's one task:
     # what is before the cut of all rows is before it among any of them.
     rows = rows.withColumn("may_pass", _may_pass(limit)(plain["video_id"], POSITION, SPAM)).where("may_pass").drop("may_pass")
-    first = rows.groupBy(plain["video_id"]).transformWithStateInPandas(
+    first = rows.groupBy(plain["video_id"]).transformWithState(
         statefulProcessor=FirstKept(list(plain.values()), limit, remembered * 1000 if timed else None), outputStructType=schema,
         outputMode="Append", timeMode="EventTime" if timed else "None")
     return first.toDF(*out.columns)

@@ -14,15 +14,20 @@ _COLUMNS = ("is_spam", "spam_score", "reason", "primary_category", "had_obfuscat
 
 
 def score_pages(
-    spark: SparkSession, pages: str, videos: DataFrame | None = None, threshold: float = 0.5, **reading,
+    spark: SparkSession, pages: str, videos: DataFrame | None = None, threshold: float = 0.5, first: int | None = None, **reading,
 ) -> DataFrame:
     """Comments of newly landed pages with their verdict; ``reading`` goes to :func:`stream_comment_pages`.
 
     Scoring is row-wise, so the batch function serves the stream unchanged.
+    For :func:`write_capped` with a limit, the same as ``first`` leaves out what cannot be
+    before the cut, where that shows before all is scored; see :func:`sparkcomments.streaming.cap.scored_to_cut`.
     """
     comments = stream_comment_pages(spark, pages, **reading)
     if videos is not None:
         comments = attach_creator(comments, videos)
+    if first and first > 0:
+        return cap.scored_to_cut(
+            comments, first, lambda rows, text, prefix: analyze_comments(rows, text, threshold=threshold, columns=_COLUMNS, prefix=prefix), _COLUMNS)
     return analyze_comments(comments, threshold=threshold, columns=_COLUMNS)
 
 

@@ -242,3 +242,80 @@ def test_a_large_video_does_not_go_to_one_task(spark, tmp_path):
     assert sorted(r.arrival_pos for r in streaming.read_scored(spark, str(tmp_path / "out")).collect()) == [0, 1, 2, 3, 4]
     plan = query._jsq.explainInternal(False)
     assert "may_pass" in plan and plan.index("TransformWithState") < plan.index("may_pass")
+
+
+def test_bounds_of_videos_hold_over_frames(monkeypatch):
+    """Against a plain count, also where more videos come than are remembered."""
+    r = random.Random(3)
+    for noted in (2_000_000, 40, 4):
+        for n in (1, 2, 5):
+            monkeypatch.setattr(cap, "NOTED", noted)
+            bounds, seen = cap.Bounds(n), []
+            for size in (0, 60, 7, 40, 60):
+                rows = [(r.choice(["a", "b", "c", "d", "e", None]), r.randint(0, 90), r.random() < 0.5) for _ in range(size)]
+                frame = pd.DataFrame(rows, columns=["v", "at", "counted"]).astype({"v": object, "at": "int64", "counted": bool})
+                got = bounds.beyond(frame["v"], frame["at"], frame["counted"].to_numpy())
+                seen += [(v, at) for v, at, counted in rows if counted]
+                exact = [sum(w == v and before < at for w, before in seen) >= n for v, at, _ in rows]
+                assert not [1 for g, e in zip(got, exact) if g and not e]
+                assert noted < 2_000_000 or [g for g, (v, *_) in zip(got, rows) if v] == [e for e, (v, *_) in zip(exact, rows) if v]
+
+
+def test_comments_beyond_the_cut_are_not_scored(spark):
+    """Of a large video few texts are scored, of one that begins with spam as many as it takes; the cut is that of all scored."""
+    from pyspark.sql import Observation, functions as F
+
+    limit, read = 5, [Observation(), Observation()]
+    kinds = F.when(F.col("id") % 5000 < 4000, "large").when(F.col("id") % 5000 < 4300, "spam first").otherwise(F.concat(F.lit("v"), F.col("id") % 100))
+    comments = spark.range(20_000, numPartitions=4).select(
+        kinds.alias("video_id"), F.when(F.col("id") != 17, F.col("id") % 5000 * 10 + F.col("id") % 3).alias("arrival_pos"),
+        F.when((F.col("id") % 5000).between(4000, 4199), "spam").when(F.col("id") % 7 == 0, "spam").when(F.col("id") % 11 == 0, "").otherwise("text").alias("text"))
+
+    def score(rows, text, prefix):
+        seen = rows.observe(read[prefix == "_then_"], F.count(text).alias("n"))
+        return seen.withColumn(prefix + "is_spam", F.coalesce(F.col(text) == "spam", F.lit(False))).drop(text)
+
+    def first(rows):
+        held = sorted((r.video_id, r.arrival_pos is None, r.arrival_pos or 0, r.text, r.is_spam) for r in rows)
+        return [x for x in held if sum(y[0] == x[0] and y[1:3] < x[1:3] and not y[4] for y in held) < limit]
+
+    got = cap.scored_to_cut(comments, limit, score, ("is_spam",))
+    assert got.columns == ["video_id", "arrival_pos", "text", "is_spam"]
+    got = got.collect()
+    assert first(got) == first(comments.withColumn("is_spam", F.col("text") == "spam").collect())
+    assert all(r.is_spam == (r.text == "spam") for r in got)
+    assert read[0].get["n"] + read[1].get["n"] < 6000 and len(got) < 4000
+
+
+def test_capped_stream_scored_to_the_cut(spark, tmp_path):
+    """Over two landings, the rows and columns of a stream in which all is scored."""
+    spam, texts, folder = "Enter your seed phrase", ["hi", "Enter your seed phrase", "", "hello"], tmp_path / "p"
+    for landing, numbers in enumerate(((0, 2, 4), (1, 3, 0))):
+        for n in numbers:
+            _land(folder, f"{landing}{n}", n, [_item(texts[(i + n) % 4]) for i in range(60)])
+            _land(folder, f"{landing}{n}w", n, [_item(spam) for _ in range(60)] + [_item("late")], "w")
+        for name, first in (("all", {}), ("cut", {"first": 4})):
+            scored = streaming.score_pages(spark, str(folder), **first)
+            streaming.write_capped(scored, str(tmp_path / name), str(tmp_path / f"{name}-ck"), 4).awaitTermination()
+    every, cut = (streaming.read_scored(spark, str(tmp_path / name)) for name in ("all", "cut"))
+    assert every.columns == cut.columns and every.count() > 100
+    assert sorted(map(repr, every.collect())) == sorted(map(repr, cut.collect()))
+
+
+def test_generated_pages_and_their_landings(spark, tmp_path):
+    import __spark_entry__ as entry
+    from pyspark.sql import functions as F
+    from sparkcomments import adapters, schemas
+
+    sf_dir, once, twice = "/root/testdata/sf0.001", str(tmp_path / "once"), str(tmp_path / "twice")
+    entry._land(entry._pages(spark, sf_dir), once)
+    landed = spark.read.schema(schemas.COMMENT_PAGE).json(once)
+    assert {len(r["items"]) for r in landed.select("items").collect()} == {100}
+    at = landed.select("video_id", "page_no", F.posexplode("items")).where("col IS NOT NULL").selectExpr(
+        "video_id", "page_no * 100 + pos", "col.snippet.topLevelComment.snippet.textDisplay")
+    assert sorted(map(tuple, at.collect())) == sorted(map(tuple, adapters.comments(spark, sf_dir).select("video_id", "arrival_pos", "text").collect()))
+    for which in ("page_no % 2 = 0", "true", "true"):
+        entry._land_again(spark, once, twice, which)
+    pages, again = (sorted(map(repr, df.collect())) for df in (landed, spark.read.schema(schemas.COMMENT_PAGE).json(twice)))
+    even = sorted(map(repr, landed.where("page_no % 2 = 0").collect()))
+    assert again == sorted([*even, *pages, *pages])
