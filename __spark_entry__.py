@@ -14,7 +14,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: E402
 
 import oracle  # noqa: E402
-from sparkcomments import adapters as A, schemas  # noqa: E402
+from sparkcomments import adapters as A  # noqa: E402
 from sparkcomments.functions import inputs, normalize, rules, scoring, urls  # noqa: E402
 from sparkcomments.functions.patterns import java  # noqa: E402
 from sparkcomments.operators import aggregates, filters, listed, ordering  # noqa: E402
@@ -346,21 +346,28 @@ def _landed_pages(spark, sf_dir) -> str:
     return _land(_pages(spark, sf_dir), workspace(spark).path("pages"))
 
 
-def _land_again(spark, landed: str, path: str, which: str = "true") -> str:
-    """Those pages of a folder land in another, as they are; all of them as copies of its files."""
-    if which != "true":
-        return _land(spark.read.schema(schemas.COMMENT_PAGE).json(landed).where(which), path)
+def _landed_apart(spark, sf_dir, which: str) -> list[str]:
+    """Two folders: the pages for which a condition holds, and all others."""
+    path = workspace(spark).path("pages")
+    pages = _pages(spark, sf_dir).withColumn("_apart", F.coalesce(F.expr(which), F.lit(False)))
+    pages.write.partitionBy("_apart").json(path, compression="gzip")
+    return [f"{path}/_apart={value}" for value in ("true", "false")]
+
+
+def _land_again(spark, path: str, *landed: str) -> str:
+    """The pages of folders land in another, as they are: as copies of their files."""
     hadoop, conf, landing = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration(), uuid.uuid4().hex
-    files = hadoop.Path(landed).getFileSystem(conf)
+    files = hadoop.Path(path).getFileSystem(conf)
 
     def copy(source):
-        name = source.getName()
-        if not name.startswith(("_", ".")) and not hadoop.FileUtil.copy(files, source, files, hadoop.Path(path, f"{landing}-{name}"), False, conf):
+        target = hadoop.Path(path, f"{landing}-{source.getParent().getName()}-{source.getName()}")
+        if not hadoop.FileUtil.copy(files, source, files, target, False, conf):
             raise OSError(f"{source} was not copied")
 
     files.mkdirs(hadoop.Path(path))
+    sources = [status.getPath() for folder in map(hadoop.Path, landed) if files.exists(folder) for status in files.listStatus(folder)]
     with ThreadPoolExecutor(8) as pool:
-        list(pool.map(copy, [status.getPath() for status in files.listStatus(hadoop.Path(landed))]))
+        list(pool.map(copy, [source for source in sources if not source.getName().startswith(("_", "."))]))
     return path
 
 
@@ -408,7 +415,7 @@ def stream_deduplicated(spark, sf_dir):
     landed, folder = _landed_pages(spark, sf_dir), workspace(spark).path("stream")
     pages = workspace(spark).path("twice")
     for _ in range(2):
-        _land_again(spark, landed, pages)
+        _land_again(spark, pages, landed)
     rows = sources.stream_comment_pages(spark, pages)
     streaming.write_rows(rows, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/out").select(*plan.COMMENT_COLUMNS[:-1])
@@ -416,10 +423,10 @@ def stream_deduplicated(spark, sf_dir):
 
 def stream_capped(spark, sf_dir):
     """The first five kept comments of each video, over two landings: even pages, then all (so the odd ones are late)."""
-    landed = _landed_pages(spark, sf_dir)
+    even, odd = _landed_apart(spark, sf_dir, "page_no % 2 = 0")
     pages, folder = workspace(spark).path("parts"), workspace(spark).path("stream")
-    for landing in ("page_no % 2 = 0", "true"):
-        _land_again(spark, landed, pages, landing)
+    for landing in ([even], [even, odd]):
+        _land_again(spark, pages, *landing)
         scored = streaming.score_pages(spark, pages, first=5)
         streaming.write_capped(scored, f"{folder}/out", f"{folder}/checkpoint", 5).awaitTermination()
     return streaming.read_scored(spark, f"{folder}/out").select("video_id", "arrival_pos", "is_spam")

@@ -13,7 +13,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..sources.pages import READ_AT, REMEMBERED
 
 # Columns reach the processor under plain names.
-POSITION, SPAM, READ_MS = "arrival_pos", "is_spam", "read_ms"
+POSITION, SPAM, READ_MS, OTHERS = "arrival_pos", "is_spam", "read_ms", "others"
+# Types that JSON gives back as they were.
+_PACKED = (T.StringType, T.BooleanType, T.IntegerType, T.LongType, T.DoubleType)
 
 
 def until_cut(positions: Sequence, spam: Sequence, left: int) -> list[int]:
@@ -218,14 +220,23 @@ def capped(scored: DataFrame, limit: int, remembered: int | None = REMEMBERED) -
     out = scored.drop(READ_AT)
     if not limit or limit < 0:
         return out
-    plain = {name: name if name in (POSITION, SPAM) else f"c{i}" for i, name in enumerate(out.columns)}
-    more = [F.unix_millis(READ_AT).alias(READ_MS)] if timed else []
-    rows = scored.select(*(F.col(f"`{name}`").alias(short) for name, short in plain.items()), *more)
-    schema = T.StructType([T.StructField(plain[f.name], f.dataType) for f in out.schema])
     # Rows of a micro-batch that are beyond the cut among those read together need not go to their video's one task:
     # what is before the cut of all rows is before it among any of them.
-    rows = rows.withColumn("may_pass", _may_pass(limit)(plain["video_id"], POSITION, SPAM)).where("may_pass").drop("may_pass")
-    first = rows.groupBy(plain["video_id"]).transformWithState(
-        statefulProcessor=FirstKept(list(plain.values()), limit, remembered * 1000 if timed else None), outputStructType=schema,
+    rows = scored.withColumn("_may_pass", _may_pass(limit)("video_id", POSITION, SPAM)).where("_may_pass")
+    # Python reads a row column by column: what it does not look at travels as one text.
+    plain = {f.name: f.name if f.name in (POSITION, SPAM) else f"c{i}" for i, f in enumerate(out.schema)}
+    others = [f for f in out.schema if f.name not in ("video_id", POSITION, SPAM) and isinstance(f.dataType, _PACKED)]
+    own = [f for f in out.schema if f not in others]
+    columns = [F.col(f"`{f.name}`").alias(plain[f.name]) for f in own]
+    schema = T.StructType([T.StructField(plain[f.name], f.dataType) for f in own])
+    if others:
+        columns.append(F.to_json(F.struct(*(F.col(f"`{f.name}`").alias(plain[f.name]) for f in others))).alias(OTHERS))
+        schema = schema.add(OTHERS, T.StringType())
+    more = [F.unix_millis(READ_AT).alias(READ_MS)] if timed else []
+    first = rows.select(*columns, *more).groupBy(plain["video_id"]).transformWithState(
+        statefulProcessor=FirstKept(schema.names, limit, remembered * 1000 if timed else None), outputStructType=schema,
         outputMode="Append", timeMode="EventTime" if timed else "None")
-    return first.toDF(*out.columns)
+    if others:
+        types = T.StructType([T.StructField(plain[f.name], f.dataType) for f in others])
+        first = first.withColumn(OTHERS, F.from_json(OTHERS, types, {"mode": "FAILFAST"}))
+    return first.select(*(F.col(plain[f.name] if f in own else f"{OTHERS}.{plain[f.name]}").alias(f.name) for f in out.schema))
